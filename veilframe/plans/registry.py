@@ -971,5 +971,6 @@ def t3_logged_batches(spark: SparkSession, d: str) -> DataFrame:
         chosen = choose_work(X.objects_of(batch), seen, stamp, OPTIONS)
         return image_log(chosen, boxes, classes, stamp, OPTIONS, suppress=False)
 
-    stream.logged_batches(orders, work, f"{root}/log", f"{root}/state").awaitTermination()
+    run = stream.logged_batches(orders, work, f"{root}/log", f"{root}/state", "o_orderkey")
+    run.awaitTermination()
     return logs.read_log_path(spark, f"{root}/log").select("file_name", "blurred", "blurred_objects")

@@ -69,9 +69,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None
     return checkpointed(heavy)
 
 
-def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality over `keys`."""
-    return reduce(lambda p, q: p & q, [a[k].eqNullSafe(b[k]) for k in keys])
+def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
+    """Null-safe equality over `keys` of two aliased frames."""
+    return reduce(
+        lambda p, q: p & q, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    )
 
 
 def positioned(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
@@ -124,6 +126,6 @@ def numbered(
         return df.withColumn(name, F.row_number().over(window) + F.lit(start - 1))
     placed = positioned(df, [*keys, *order], "_pos")
     first = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))
-    joined = placed.join(first, same_keys(placed, first, keys))
+    joined = placed.alias("p").join(first.alias("f"), same_keys("p", "f", keys))
     number = (F.col("_pos") - F.col("_first") + F.lit(start)).cast("int")
-    return joined.select(*[placed[c] for c in df.columns], number.alias(name))
+    return joined.select(*[F.col(f"p.{c}") for c in df.columns], number.alias(name))

@@ -45,17 +45,20 @@ def logged_batches(
     work: Callable[[DataFrame, DataFrame], DataFrame],
     log_path: str,
     checkpoint: str,
+    key: str = "file_name",
 ) -> StreamingQuery:
     """Run `work(batch, log)` per batch and add its log rows to the log folder.
 
-    Each batch owns one partition of the log and does not see its own rows, so a batch
-    that is run again after a failure gives the same rows and overwrites them.
+    Copies of a `key` within a batch count once. Each batch owns one partition of the log
+    and does not see its own rows, so a batch that is run again after a failure gives the
+    same rows and overwrites them.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         log = read_log_path(batch.sparkSession, log_path)
         if "batch_id" in log.columns:
-            log = log.where(F.col("batch_id") < F.lit(batch_id))
+            log = log.where(F.col("batch_id") != F.lit(batch_id))
+        batch = batch.dropDuplicates([key])
         rows = work(batch, log)
         rows.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
