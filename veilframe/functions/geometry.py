@@ -130,8 +130,7 @@ def unletterbox(ratio: Column, dw: Column, dh: Column) -> list[Column]:
     return [half_even((F.col(c) - shift[c]) / ratio).cast("int").alias(c) for c in CORNERS]
 
 
-def reflect(p: Column, n: Column) -> Column:
-    """Source index of position `p` in a line of `n`, mirrored about its end pixels."""
-    period = F.lit(2) * (n - F.lit(1))
-    folded = F.pmod(p, F.greatest(period, F.lit(1)))
-    return F.when(n == 1, F.lit(0)).when(folded < n, folded).otherwise(period - folded)
+def reflect(p: str, n: str) -> str:
+    """SQL text: source index of position `p` in a line of `n`, mirrored about its end pixels."""
+    folded = f"pmod({p}, greatest(2 * ({n} - 1), 1))"
+    return f"if({n} = 1, 0, if({folded} < {n}, {folded}, 2 * ({n} - 1) - {folded}))"

@@ -89,17 +89,19 @@ def images_with_boxes(images: DataFrame, boxes: DataFrame, keep_empty: bool) ->
     return matched.unionByName(empty, allowMissingColumns=True)
 
 
-def blurred_per_image(images: DataFrame, boxes: DataFrame, blur_classes: Sequence[str]) -> DataFrame:
+def blurred_per_image(
+    images: DataFrame, boxes: DataFrame, classes: DataFrame, blur_classes: Sequence[str],
+    strict: bool = False,
+) -> DataFrame:
     """Count the boxes on the blur list per image, 0 when there are none.
 
-    Boxes are counted before the join, so a hot image arrives as one row.
+    Boxes are counted per image and class before any join, so a hot image arrives as a
+    few rows.
     """
-    counts = (
-        boxes.where(on_list("class_name", blur_classes))
-        .groupBy("image_id")
-        .agg(F.count(F.lit(1)).cast("int").alias("blurred_objects"))
-    )
-    return images.join(counts, "image_id", "left").withColumn(
+    counts = boxes.groupBy("image_id", "class_id").agg(F.count(F.lit(1)).alias("_n"))
+    listed = name_classes(counts, classes, strict).where(on_list("class_name", blur_classes))
+    blurred = listed.groupBy("image_id").agg(F.sum("_n").cast("int").alias("blurred_objects"))
+    return images.join(blurred, "image_id", "left").withColumn(
         "blurred_objects", F.coalesce("blurred_objects", F.lit(0))
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.geometry import has_area, intersection, overlaps_above, union
 from veilframe.operators.detections import confident
-from veilframe.plans.scale import FOLD_LIMIT, checkpointed, hot_keys
+from veilframe.plans.scale import FOLD_LIMIT, written, hot_keys
 
 GROUP = ["image_id", "class_id"]
 BOX = ["image_id", "class_id", "det_id", "score", "x0", "y0", "x1", "y1"]
@@ -93,7 +93,7 @@ def iou_pairs(boxes: DataFrame, iou: float, pair_limit: int = PAIR_LIMIT) -> Dat
     """
     _check_iou(iou)
     shape = [*GROUP, "x0", "y0", "x1", "y1"]
-    shapes = (
+    shapes = written(
         boxes.where(has_area())
         .groupBy(*shape)
         .agg(F.min("det_id").alias("det_id"), F.count(F.lit(1)).alias("copies"))
@@ -102,7 +102,6 @@ def iou_pairs(boxes: DataFrame, iou: float, pair_limit: int = PAIR_LIMIT) -> Dat
     if hot is None:
         parts = [_pairs_by_group(shapes, iou)]
     else:
-        shapes = checkpointed(shapes)
         parts = [
             _pairs_by_group(shapes.join(hot, GROUP, "left_anti"), iou),
             _pairs_by_cell(shapes.join(hot, GROUP, "left_semi"), iou),
@@ -203,7 +202,7 @@ def _nms_by_rounds(boxes: DataFrame, iou: float) -> DataFrame:
         return out
 
     kept = [flat]
-    open_boxes = checkpointed(boxes.where(has_area()))
+    open_boxes = written(boxes.where(has_area()))
     while not open_boxes.isEmpty():
         order = F.struct((-F.col("score")).alias("rank"), "det_id", "score", "x0", "y0", "x1", "y1")
         leads = (
@@ -211,7 +210,7 @@ def _nms_by_rounds(boxes: DataFrame, iou: float) -> DataFrame:
             .agg(F.min(order).alias("b"))
             .select(*GROUP, *[F.col(f"b.{c}").alias(c) for c in BOX[2:]])
         )
-        leads = checkpointed(leads)
+        leads = written(leads)
         mine = _packed(rivals.home(leads), "a", CELL).alias("m")
         other = _packed(rivals.probe(leads), "b", CELL).alias("o")
         better = (F.col("b.score") > F.col("a.score")) | (
@@ -220,13 +219,13 @@ def _nms_by_rounds(boxes: DataFrame, iou: float) -> DataFrame:
         near = reduce(lambda p, q: p & q, [_within(rivals, axis) for axis in ("x", "y")])
         rule = _same("m", "o", [*GROUP, *CELL]) & better & near
         settled = mine.join(other, rule, "left_anti").select(*GROUP, "a.*").select(*BOX)
-        settled = checkpointed(settled)
+        settled = written(settled)
         kept.append(settled)
         rest = _packed(partners.home(open_boxes.select(*BOX)), "a", CELL).alias("m")
         gone = _packed(partners.probe(settled), "b", CELL).alias("o")
         rule = _same("m", "o", [*GROUP, *CELL]) & overlaps_above("a", "b", iou)
         # a settled box overlaps itself fully, so it leaves the open boxes here as well
-        open_boxes = checkpointed(
+        open_boxes = written(
             rest.join(gone, rule, "left_anti").select(*GROUP, "a.*").select(*BOX)
         )
     return reduce(DataFrame.unionByName, kept)

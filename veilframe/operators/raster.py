@@ -41,7 +41,7 @@ def scanlines(rasters: DataFrame) -> DataFrame:
 
 def pixels(scan: DataFrame) -> DataFrame:
     """One row per pixel and channel."""
-    return scan.select("image_id", "c", "y", F.posexplode("vals").alias("x", "v"))
+    return scan.select("image_id", "c", "y", F.posexplode_outer("vals").alias("x", "v"))
 
 
 def image_sizes(scan: DataFrame) -> DataFrame:
@@ -80,16 +80,16 @@ def pixels_in_boxes(scan: DataFrame, boxes: DataFrame) -> DataFrame:
     ).select("image_id", "det_id", "c", "y", "x", F.get("vals", F.col("x")).alias("v"))
 
 
-def _sliding_sum(df: DataFrame, keys: list[str], along: str, value: str, k: int) -> DataFrame:
-    """Sum of the last `k` values along a line, from a running sum and its lag.
+def _sliding_sum(df: DataFrame, keys: list[str], along: str, k: int) -> DataFrame:
+    """Replace `v` by the sum of the last `k` values along a line.
 
-    The cost per row does not depend on `k`.
+    It is the difference of a running sum and its lag, so the cost per row does not
+    depend on `k`.
     """
     line = Window.partitionBy(*keys).orderBy(along)
-    running = F.sum(value).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_run", running).withColumn(
-        value, F.col("_run") - F.coalesce(F.lag("_run", k).over(line), F.lit(0))
-    )
+    running = F.sum("v").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.lag("_run", k, 0).over(line)
+    return df.withColumn("_run", running).withColumn("v", F.col("_run") - before)
 
 
 def blur_segments(scan: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
@@ -100,44 +100,37 @@ def blur_segments(scan: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
     second, so the result is already grouped by line. Boxes must lie inside their image.
     """
     anchor = k // 2
-    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    lines = boxes.where(has_area()).select(
-        "image_id",
-        "det_id",
-        "x0",
-        "y0",
-        width.alias("n"),
-        height.alias("m"),
-        F.explode(F.sequence(F.lit(-anchor), height + F.lit(k - 2 - anchor))).alias("q"),
+    tail = k - 1 - anchor
+    box = ["image_id", "det_id", "x0", "y0", "n", "m"]
+    lines = (
+        boxes.where(has_area())
+        .selectExpr("image_id", "det_id", "x0", "y0", "x1 - x0 as n", "y1 - y0 as m")
+        .selectExpr(*box, f"explode(sequence(-{anchor}, m + {k - 2 - anchor})) as q")
+        .selectExpr(*box, "q", f"y0 + {reflect('q', 'm')} as y")
     )
-    lines = lines.withColumn("y", F.col("y0") + reflect(F.col("q"), F.col("m")))
     spread = (
         scan.select("image_id", "c", "y", "vals")
         .join(lines, ["image_id", "y"])
-        .select(
-            "image_id", "det_id", "c", "x0", "y0", "n", "m", "q", "vals",
-            F.explode(F.sequence(F.lit(-anchor), F.col("n") + F.lit(k - 2 - anchor))).alias("p"),
-        )
-        .withColumn("v", F.get("vals", F.col("x0") + reflect(F.col("p"), F.col("n"))))
-        .drop("vals")
+        .selectExpr(*box, "c", "q", "vals", f"explode(sequence(-{anchor}, n + {k - 2 - anchor})) as p")
+        .selectExpr(*box, "c", "q", "p", f"get(vals, x0 + {reflect('p', 'n')}) as v")
     )
-    tail = k - 1 - anchor
-    down = _sliding_sum(spread, ["image_id", "det_id", "c", "p"], "q", "v", k)
-    down = down.withColumn("r", F.col("q") - F.lit(tail)).where(
-        (F.col("r") >= 0) & (F.col("r") < F.col("m"))
+    down = (
+        _sliding_sum(spread, ["image_id", "det_id", "c", "p"], "q", k)
+        .where(f"q between {tail} and m - 1 + {tail}")
+        .selectExpr(*box, "c", "p", f"q - {tail} as r", "v")
     )
-    across = _sliding_sum(down, ["image_id", "det_id", "c", "r"], "p", "v", k)
-    across = across.withColumn("s", F.col("p") - F.lit(tail)).where(
-        (F.col("s") >= 0) & (F.col("s") < F.col("n"))
-    )
-    mean = F.rint(F.col("v") / F.lit(float(k * k))).cast("int")
-    seg = F.transform(
-        F.sort_array(F.collect_list(F.struct("s", mean.alias("v")))), lambda e: e["v"]
+    across = _sliding_sum(down, ["image_id", "det_id", "c", "r"], "p", k).where(
+        f"p between {tail} and n - 1 + {tail}"
     )
+    mean = f"cast(rint(v / {float(k * k)}D) as int)"
     return (
         across.groupBy("image_id", "det_id", "c", "r")
-        .agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), seg.alias("seg"))
-        .select("image_id", "c", (F.col("y0") + F.col("r")).alias("y"), "x0", "seg")
+        .agg(
+            F.expr("any_value(x0) as x0"),
+            F.expr("any_value(y0) as y0"),
+            F.expr(f"transform(sort_array(collect_list(struct(p, {mean} as v))), e -> e.v) as seg"),
+        )
+        .selectExpr("image_id", "c", "y0 + r as y", "x0", "seg")
     )
 
 
@@ -152,52 +145,40 @@ def paint(scan: DataFrame, segments: DataFrame) -> DataFrame:
         F.collect_list(F.struct("x0", "seg")).alias("_patches")
     )
 
-    def put(vals: Column, patch: Column) -> Column:
-        end = patch["x0"] + F.size(patch["seg"])
-        return F.concat(
-            F.slice(vals, F.lit(1), patch["x0"]),
-            patch["seg"],
-            F.slice(vals, end + F.lit(1), F.greatest(F.size(vals) - end, F.lit(0))),
-        )
-
-    painted = F.when(F.col("_patches").isNull(), F.col("vals")).otherwise(
-        F.aggregate("_patches", F.col("vals"), put)
+    painted = F.expr(
+        """aggregate(coalesce(_patches, array()), vals, (line, s) -> concat(
+             slice(line, 1, s.x0), s.seg,
+             slice(line, s.x0 + size(s.seg) + 1, greatest(size(line) - s.x0 - size(s.seg), 0))))"""
     )
     kept = [c for c in scan.columns if c != "vals"]
     return scan.join(patches, ["image_id", "c", "y"], "left").select(*kept, painted.alias("vals"))
 
 
-def outline_segments(
+def draw_outlines(
     scan: DataFrame, boxes: DataFrame, colour: tuple[int, ...] = (0, 255, 0), thickness: int = 2
 ) -> DataFrame:
-    """Line segments of box outlines: the band of `thickness` pixels inside the edge."""
-    lines = boxes.where(has_area()).select(
-        "image_id", "x0", "y0", "x1", "y1",
-        F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"),
+    """Draw box outlines: the band of `thickness` pixels inside the edge of each box.
+
+    Outlines have one colour, so their order is free and equal runs of a line are merged
+    map-side: what reaches a line is bounded by its width, however many boxes cross it.
+    """
+    edge = f"y < y0 + {thickness} or y >= y1 - {thickness} or x1 - x0 <= {2 * thickness}"
+    ends = f"array(struct(x0, {thickness} as n), struct(x1 - {thickness} as x0, {thickness} as n))"
+    runs = (
+        boxes.where(has_area())
+        .selectExpr("image_id", "x0", "y0", "x1", "y1", "explode(sequence(y0, y1 - 1)) as y")
+        .selectExpr("image_id", "y", f"explode(if({edge}, array(struct(x0, x1 - x0 as n)), {ends})) as run")
+        .groupBy("image_id", "y")
+        .agg(F.collect_set("run").alias("_runs"))
     )
-    band = F.lit(thickness)
-    full = (F.col("y") < F.col("y0") + band) | (F.col("y") >= F.col("y1") - band)
-    full = full | (F.col("x1") - F.col("x0") <= 2 * thickness)
-    left = F.struct(F.col("x0").alias("x0"), band.alias("n"))
-    right = F.struct((F.col("x1") - band).alias("x0"), band.alias("n"))
-    whole = F.struct(F.col("x0").alias("x0"), (F.col("x1") - F.col("x0")).alias("n"))
-    runs = F.when(full, F.array(whole)).otherwise(F.array(left, right))
-    shade = F.get(F.array(*[F.lit(v) for v in colour]), F.col("c"))
-    return (
-        scan.select("image_id", "c", "y")
-        .join(lines.select("image_id", "y", F.explode(runs).alias("run")), ["image_id", "y"])
-        .select(
-            "image_id", "c", "y", F.col("run.x0").alias("x0"),
-            F.array_repeat(shade, F.col("run.n")).alias("seg"),
-        )
+    shade = f"get(array({', '.join(str(v) for v in colour)}), c)"
+    painted = F.expr(
+        f"""aggregate(coalesce(_runs, array()), vals, (line, s) -> concat(
+             slice(line, 1, s.x0), array_repeat({shade}, s.n),
+             slice(line, s.x0 + s.n + 1, greatest(size(line) - s.x0 - s.n, 0))))"""
     )
-
-
-def draw_outlines(
-    scan: DataFrame, boxes: DataFrame, colour: tuple[int, ...] = (0, 255, 0), thickness: int = 2
-) -> DataFrame:
-    """Draw box outlines; crossing outlines have one colour, so their order is free."""
-    return paint(scan, outline_segments(scan, boxes, colour, thickness))
+    kept = [c for c in scan.columns if c != "vals"]
+    return scan.join(runs, ["image_id", "y"], "left").select(*kept, painted.alias("vals"))
 
 
 def swap_channels(scan: DataFrame) -> DataFrame:

@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.geometry import has_area, touches
 from veilframe.operators.raster import (
-    blur_segments,
+    box_blur,
     clip_boxes,
+    draw_outlines,
     image_sizes,
-    outline_segments,
-    paint,
 )
-from veilframe.plans.scale import FOLD_LIMIT, checkpointed, hot_keys
+from veilframe.plans.scale import FOLD_LIMIT, written, hot_keys
 
 SHAPE = ["det_id", "x0", "y0", "x1", "y1"]
 
@@ -31,30 +30,26 @@ def blur_waves(boxes: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     solid = boxes.where(has_area())
     hot = hot_keys(solid, ["image_id"], fold_limit)
     if hot is None:
-        waves = _waves_by_fold(solid)
-    else:
-        waves = _waves_by_fold(solid.join(hot, "image_id", "left_anti")).unionByName(
-            _waves_by_peeling(solid.join(hot, "image_id", "left_semi"))
-        )
-    if set(boxes.columns) == {"image_id", *SHAPE}:
-        return waves
-    return solid.join(waves.select("image_id", "det_id", "wave"), ["image_id", "det_id"])
+        return _waves_by_fold(solid)
+    return _waves_by_fold(solid.join(hot, "image_id", "left_anti")).unionByName(
+        _waves_by_peeling(solid.join(hot, "image_id", "left_semi"))
+    )
 
 
 def _waves_by_fold(boxes: DataFrame) -> DataFrame:
     """Images with a bounded number of boxes: one pass over the ordered array."""
-    ordered = F.sort_array(F.collect_list(F.struct(*SHAPE, F.lit(0).alias("wave"))))
-    images = boxes.groupBy("image_id").agg(ordered.alias("boxes"))
+    rest = [c for c in boxes.columns if c not in ("image_id", "det_id")]
+    box = F.struct("det_id", *rest, F.lit(0).alias("wave"))
+    images = boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
 
     def step(done: Column, box: Column) -> Column:
         before = F.transform(F.filter(done, lambda d: touches(d, box)), lambda d: d["wave"])
         wave = F.coalesce(F.array_max(before) + F.lit(1), F.lit(0))
-        return F.array_append(done, F.struct(*[box[c].alias(c) for c in SHAPE], wave.alias("wave")))
+        return F.array_append(done, box.withField("wave", wave))
 
     none = F.filter("boxes", lambda _: F.lit(False))
-    return images.select(
-        "image_id", F.explode(F.aggregate("boxes", none, step)).alias("b")
-    ).select("image_id", "b.*")
+    waves = images.select("image_id", F.explode(F.aggregate("boxes", none, step)).alias("b"))
+    return waves.select(*[f"b.{c}" if c != "image_id" else c for c in boxes.columns], "b.wave")
 
 
 def _waves_by_peeling(boxes: DataFrame) -> DataFrame:
@@ -64,26 +59,20 @@ def _waves_by_peeling(boxes: DataFrame) -> DataFrame:
     box per pixel is a minimum, which combines map-side, so stacked boxes never meet as
     pairs.
     """
-    left = checkpointed(boxes.select("image_id", *SHAPE))
+    left = written(boxes)
     out, wave = [], 0
     while not left.isEmpty():
-        spots = left.select(
-            "image_id", "det_id", "x0", "x1",
-            F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"),
-        ).select(
-            "image_id", "det_id", "y",
-            F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"),
-        )
+        spots = left.selectExpr(
+            "image_id", "det_id", "x0", "x1", "explode(sequence(y0, y1 - 1)) as y"
+        ).selectExpr("image_id", "det_id", "y", "explode(sequence(x0, x1 - 1)) as x")
         first = spots.groupBy("image_id", "y", "x").agg(F.min("det_id").alias("det_id"))
         owned = first.groupBy("image_id", "det_id").agg(F.count(F.lit(1)).alias("owned"))
-        size = (F.col("x1") - F.col("x0")).cast("bigint") * (F.col("y1") - F.col("y0"))
-        marked = checkpointed(
-            left.join(owned, ["image_id", "det_id"], "left").select(
-                "image_id", *SHAPE, F.coalesce(F.col("owned") == size, F.lit(False)).alias("free")
-            )
+        free = F.expr("coalesce(owned = bigint(x1 - x0) * (y1 - y0), false)")
+        marked = written(
+            left.join(owned, ["image_id", "det_id"], "left").select(*boxes.columns, free.alias("_free"))
         )
-        out.append(marked.where("free").drop("free").withColumn("wave", F.lit(wave)))
-        left = marked.where(~F.col("free")).drop("free")
+        out.append(marked.where("_free").drop("_free").withColumn("wave", F.lit(wave)))
+        left = marked.where("not _free").drop("_free")
         wave += 1
     return reduce(DataFrame.unionByName, out)
 
@@ -94,35 +83,34 @@ def redact(scan: DataFrame, boxes: DataFrame, k: int, fold_limit: int = FOLD_LIM
     Optional boolean columns choose per box: `draw` adds an outline before the blur, and
     `blur` says whether to blur at all (by default every box is blurred, none is drawn).
 
-    Images without boxes pass straight through. The others are written once, and only
-    those with more waves to come are written again after a wave.
+    Lines that no box covers pass straight through. The others go from wave to wave only
+    as long as a later box covers them.
     """
     if "draw" not in boxes.columns:
         boxes = boxes.withColumn("draw", F.lit(False))
     if "blur" not in boxes.columns:
         boxes = boxes.withColumn("blur", F.lit(True))
-    boxes = boxes.select("image_id", *SHAPE, "draw", "blur").where(F.col("draw") | F.col("blur"))
-    boxes = checkpointed(clip_boxes(boxes, image_sizes(scan)))
-    boxes = checkpointed(blur_waves(boxes, fold_limit))
-    last = boxes.groupBy("image_id").agg(F.max("wave").alias("_last"))
-    totals = boxes.agg(F.max("wave"), F.bool_or("draw"), F.bool_or("blur")).first()
-    if totals[0] is None:
+    boxes = boxes.select("image_id", *SHAPE, "draw", "blur").where("draw or blur")
+    boxes = written(clip_boxes(boxes, image_sizes(scan)))
+    boxes = written(blur_waves(boxes, fold_limit))
+    top, any_draw, any_blur = boxes.agg(F.max("wave"), F.bool_or("draw"), F.bool_or("blur")).first()
+    if top is None:
         return scan
-    any_draw, any_blur = totals[1], totals[2]
 
     def apply(lines: DataFrame, now: DataFrame) -> DataFrame:
         if any_draw:
-            lines = paint(lines, outline_segments(lines, now.where("draw")))
+            lines = draw_outlines(lines, now.where("draw"))
         if any_blur:
-            lines = paint(lines, blur_segments(lines, now.where("blur"), k))
+            lines = box_blur(lines, now.where("blur"), k)
         return lines
 
-    done = [scan.join(last, "image_id", "left_anti")]
-    active = checkpointed(scan.join(last, "image_id"))
-    for wave in range(totals[0] + 1):
-        now = boxes.where(F.col("wave") == wave)
-        ending = active.where(F.col("_last") == wave)
-        done.append(apply(ending, now).drop("_last"))
-        if wave < totals[0]:
-            active = checkpointed(apply(active.where(F.col("_last") > wave), now))
+    covered = boxes.selectExpr("image_id", "wave", "explode(sequence(y0, y1 - 1)) as y")
+    last = covered.groupBy("image_id", "y").agg(F.max("wave").alias("_last"))
+    done = [scan.join(last, ["image_id", "y"], "left_anti")]
+    active = written(scan.join(last, ["image_id", "y"]))
+    for wave in range(top):
+        after = written(apply(active, boxes.where(F.col("wave") == wave)))
+        done.append(after.where(F.col("_last") == wave).drop("_last"))
+        active = after.where(F.col("_last") > wave)
+    done.append(apply(active, boxes.where(F.col("wave") == top)).drop("_last"))
     return reduce(DataFrame.unionByName, done)

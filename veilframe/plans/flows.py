@@ -27,7 +27,7 @@ from veilframe.operators.selection import (
     with_altitude,
 )
 from veilframe.operators.waves import redact
-from veilframe.plans.scale import checkpointed
+from veilframe.plans.scale import restricted, written
 
 
 @dataclass(frozen=True)
@@ -55,10 +55,9 @@ def image_log(
 ) -> DataFrame:
     """Log rows of a run. `suppress` removes overlapping boxes, for detectors that do not."""
     below = work.redact.select("image_id", "file_name")
-    wanted = detections.join(below.select("image_id"), "image_id", "left_semi")
+    wanted = restricted(detections, below.select("image_id"), "image_id")
     boxes = nms(wanted, options.conf, options.iou) if suppress else wanted.where(confident(options.conf))
-    named = name_classes(boxes, classes, options.strict)
-    counts = blurred_per_image(below, named, options.blur_classes)
+    counts = blurred_per_image(below, boxes, classes, options.blur_classes, options.strict)
     return log_rows(counts, work.passed, stamp)
 
 
@@ -90,12 +89,12 @@ def image_run(
     """One incremental run over images: redacted scanlines, log, summary, bad objects.
 
     `detect` maps scanlines to raw boxes. It sees only images below the altitude gate, and
-    its result is kept by a checkpoint so that no image is scored twice.
+    its result is written, so that no image is scored twice.
     """
     work = choose_work(objects, log, as_of, options)
-    lines = scan.join(work.redact.select("image_id"), "image_id", "left_semi")
-    raw = checkpointed(detect(lines))
-    rows = checkpointed(image_log(work, raw, classes, as_of, options, suppress))
+    lines = restricted(scan, work.redact.select("image_id"), "image_id")
+    raw = written(detect(lines))
+    rows = written(image_log(work, raw, classes, as_of, options, suppress))
     kept = nms(raw, options.conf, options.iou) if suppress else raw.where(confident(options.conf))
     named = name_classes(kept, classes, options.strict)
     return {
@@ -122,15 +121,15 @@ def video_run(
     wanted number are left out before scoring. With `only_with_boxes` frames without a
     kept box vanish from the output; otherwise every frame is written.
     """
-    wanted = checkpointed(first_frames(frames, options.n_frames))
-    lines = scan.join(wanted.select("image_id"), "image_id", "left_semi")
-    raw = checkpointed(detect(lines).where(confident(options.conf)))
+    wanted = written(first_frames(frames, options.n_frames))
+    lines = restricted(scan, wanted.select("image_id"), "image_id")
+    raw = written(detect(lines).where(confident(options.conf)))
     named = name_classes(raw, classes, options.strict)
     boxes = boxes_to_redact(named, options)
     if only_with_boxes:
         hit = boxes.select("image_id").distinct()
         wanted = wanted.join(hit, "image_id", "left_semi")
-        lines = lines.join(hit, "image_id", "left_semi")
+        lines = restricted(lines, hit, "image_id")
     return {
         "detections": named,
         "redacted": redact(lines, boxes, options.kernel),

@@ -376,8 +376,8 @@ def j6_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 )
 def a1_blurred_objects(spark: SparkSession, d: str) -> DataFrame:
     boxes = X.v_detections(spark, d).where(D.confident(0.15))
-    named = D.name_classes(boxes, X.v_classes(spark, d))
-    return D.blurred_per_image(X.v_objects(spark, d).select("image_id"), named, BLUR)
+    images = X.v_objects(spark, d).select("image_id")
+    return D.blurred_per_image(images, boxes, X.v_classes(spark, d), BLUR)
 
 
 MINIMUM_SQL = f"""

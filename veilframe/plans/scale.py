@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 10_000
 """Largest table, in rows, that is broadcast."""
 
+SMALL_IDS = 500_000
+"""Largest list of single numbers, in rows, that is broadcast (a few megabytes)."""
+
 FOLD_LIMIT = 2_048
 """Largest group that is folded as one array."""
 
@@ -44,11 +47,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, which survives lost executors."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows to a table in the shared folder and read them back.
+
+    Unlike an RDD checkpoint the rows are computed once, and later reads prune columns and
+    push filters down. The table survives lost executors.
+    """
+    path = work_dir(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -57,6 +64,17 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
+def restricted(df: DataFrame, ids: DataFrame, key: str, max_rows: int = SMALL_IDS) -> DataFrame:
+    """Rows of `df` whose `key` occurs in `ids`, safe for a hot key.
+
+    A small list is broadcast, so nothing moves. A large one needs a shuffle; its result is
+    written, because a join that feeds a grouping on the same key is not split when skewed.
+    """
+    if ids.limit(max_rows + 1).count() <= max_rows:
+        return df.join(F.broadcast(ids), key, "left_semi")
+    return written(df.join(ids, key, "left_semi"))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """Keys with more than `limit` rows, or None when there are none."""
     heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
@@ -66,7 +84,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None
         return None
     if len(head) <= SMALL_ROWS:
         return F.broadcast(df.sparkSession.createDataFrame(head, heavy.schema))
-    return checkpointed(heavy)
+    return written(heavy)
 
 
 def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
@@ -79,11 +97,11 @@ def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
 def positioned(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Add the 0-based position of each row in a global order, without one global task.
 
-    Rows are range-partitioned and sorted, then written once to a checkpoint so that
-    partition numbers are settled; the position is the size of the partitions before
+    Rows are range-partitioned and sorted, then written once, so that partition
+    numbers are settled; the position is the size of the partitions before
     plus the place within the partition. `order` should be total, so that ties split.
     """
-    placed = checkpointed(
+    placed = written(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
