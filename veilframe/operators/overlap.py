@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.geometry import has_area, intersection, overlaps_above, union
@@ -23,6 +23,9 @@ CELL = ["_lx", "_ly", "_cx", "_cy"]
 PAIR_LIMIT = 256
 """Largest group whose boxes are compared pair by pair."""
 
+ROUND_FOLDS = 8
+"""Groups that folds alone would need more rounds than this for use cell leaders too."""
+
 
 def _check_iou(iou: float) -> None:
     if not 0 < iou <= 1:
@@ -154,7 +157,7 @@ def nms(
     if hot is None:
         return _nms_by_fold(scored, iou)
     return _nms_by_fold(scored.join(hot, GROUP, "left_anti"), iou).unionByName(
-        _nms_by_rounds(scored.join(hot, GROUP, "left_semi"), iou)
+        _nms_by_rounds(scored.join(hot, GROUP, "left_semi"), iou, fold_limit)
     )
 
 
@@ -173,69 +176,55 @@ def _nms_by_fold(boxes: DataFrame, iou: float) -> DataFrame:
     return kept.select(*GROUP, *[F.col(f"b.{c}").alias(c) for c in fields]).select(*BOX)
 
 
-def _nms_by_rounds(boxes: DataFrame, iou: float) -> DataFrame:
-    """Groups of any size: the same result in rounds over grid cells.
+def _nms_by_rounds(boxes: DataFrame, iou: float, fold_limit: int) -> DataFrame:
+    """Groups of any size: the same result in rounds.
 
-    Fine cells are so small that any two boxes in one overlap by more than `iou`, hence at
-    most one of them is ever kept. Each round takes the best open box of every fine cell.
-    Such a box is settled as kept when no better one leads a cell within reach, as any
-    better partner would be led by such a cell. Then all its partners are dropped. The
-    best open box of a group always settles, so each round makes progress.
+    Each round settles the best `fold_limit` open boxes of every group by a fold. Nothing
+    better is open, so the fold is exact for them. While groups are much larger than
+    that, leaders of grid cells are settled as well, all over the image at once. Then
+    every partner of a settled box is dropped.
     """
-    flat = boxes.where(~has_area())  # an empty box neither drops nor is dropped
-    root = math.sqrt(2 * iou / (1 + iou))
-    fine = 0.9 * (1 - root) / (1 + root)
-    growth = 1 + fine
-    rivals = _Grid(iou / growth**2, (1 - iou) * growth + 2 * fine)
+    kept = [boxes.where(~has_area())]  # an empty box neither drops nor is dropped
+    open_boxes = written(boxes.where(has_area()).select(*BOX))
     partners = _Grid(iou, 1 - iou)
-
-    def level(side: Column) -> Column:
-        return F.floor(F.log(side.cast("double")) / F.lit(math.log(growth)))
-
-    def fine_cell() -> list[Column]:
-        out = []
-        for axis in ("x", "y"):
-            low = F.col(f"{axis}0")
-            size = level(F.col(f"{axis}1") - low)
-            step = F.lit(fine) * F.pow(F.lit(growth), size)
-            out += [size.alias(f"_s{axis}"), F.floor(low / step).alias(f"_p{axis}")]
-        return out
-
-    kept = [flat]
-    open_boxes = written(boxes.where(has_area()))
-    while not open_boxes.isEmpty():
-        order = F.struct((-F.col("score")).alias("rank"), "det_id", "score", "x0", "y0", "x1", "y1")
-        leads = (
-            open_boxes.groupBy(*GROUP, *fine_cell())
-            .agg(F.min(order).alias("b"))
-            .select(*GROUP, *[F.col(f"b.{c}").alias(c) for c in BOX[2:]])
-        )
-        leads = written(leads)
-        mine = _packed(rivals.home(leads), "a", CELL).alias("m")
-        other = _packed(rivals.probe(leads), "b", CELL).alias("o")
-        better = (F.col("b.score") > F.col("a.score")) | (
-            (F.col("b.score") == F.col("a.score")) & (F.col("b.det_id") < F.col("a.det_id"))
-        )
-        near = reduce(lambda p, q: p & q, [_within(rivals, axis) for axis in ("x", "y")])
-        rule = _same("m", "o", [*GROUP, *CELL]) & better & near
-        settled = mine.join(other, rule, "left_anti").select(*GROUP, "a.*").select(*BOX)
+    best_first = Window.partitionBy(*GROUP).orderBy(F.col("score").desc(), "det_id")
+    while True:
+        sizes = open_boxes.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0]
+        if largest is None:
+            return reduce(DataFrame.unionByName, kept)
+        top = open_boxes.withColumn("_rank", F.row_number().over(best_first))
+        settled = _nms_by_fold(top.where(F.col("_rank") <= fold_limit).drop("_rank"), iou)
+        if largest > ROUND_FOLDS * fold_limit:
+            settled = settled.unionByName(_free_leaders(open_boxes, partners))
+            settled = settled.dropDuplicates([*GROUP, "det_id"])
         settled = written(settled)
         kept.append(settled)
-        rest = _packed(partners.home(open_boxes.select(*BOX)), "a", CELL).alias("m")
+        rest = _packed(partners.home(open_boxes), "a", CELL).alias("m")
         gone = _packed(partners.probe(settled), "b", CELL).alias("o")
         rule = _same("m", "o", [*GROUP, *CELL]) & overlaps_above("a", "b", iou)
         # a settled box overlaps itself fully, so it leaves the open boxes here as well
-        open_boxes = written(
-            rest.join(gone, rule, "left_anti").select(*GROUP, "a.*").select(*BOX)
-        )
-    return reduce(DataFrame.unionByName, kept)
+        open_boxes = written(rest.join(gone, rule, "left_anti").select(*GROUP, "a.*").select(*BOX))
 
 
-def _within(grid: _Grid, axis: str) -> Column:
-    """The reach condition of a grid along one axis, for structs `a` and `b`."""
-    side = {s: F.col(f"{s}.{axis}1") - F.col(f"{s}.{axis}0") for s in ("a", "b")}
-    longer = F.greatest(side["a"], side["b"])
-    gap = F.abs(F.col(f"a.{axis}0") - F.col(f"b.{axis}0"))
-    return (F.least(side["a"], side["b"]) * F.lit(grid.base) >= longer) & (
-        gap <= F.lit(grid.reach) * longer
+def _free_leaders(open_boxes: DataFrame, grid: _Grid) -> DataFrame:
+    """Open boxes that are certainly kept, found all over an image at once.
+
+    The best open box of a cell is free when it is better than the best one of every cell
+    that can hold a partner of it. However many boxes a cell holds, they combine map-side
+    into one leader.
+    """
+    order = F.struct((-F.col("score")).alias("rank"), "det_id", "score", "x0", "y0", "x1", "y1")
+    cells = grid.home(open_boxes).groupBy(*GROUP, *CELL).agg(F.min(order).alias("b"))
+    leads = written(cells.select(*GROUP, *CELL, "b"))
+    flat = leads.select(*GROUP, *[F.col(f"b.{c}").alias(c) for c in BOX[2:]])
+    seeking = grid.probe(flat).select(
+        *GROUP, *CELL, "det_id", F.struct((-F.col("score")).alias("rank"), "det_id").alias("a")
+    )
+    blocked = (
+        seeking.join(leads, [*GROUP, *CELL])
+        .where(F.struct("b.rank", "b.det_id") < F.col("a"))
+        .select(*GROUP, "det_id")
+        .distinct()
     )
+    return flat.join(blocked, [*GROUP, "det_id"], "left_anti").select(*BOX)

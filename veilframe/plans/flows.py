@@ -55,8 +55,12 @@ def image_log(
 ) -> DataFrame:
     """Log rows of a run. `suppress` removes overlapping boxes, for detectors that do not."""
     below = work.redact.select("image_id", "file_name")
-    wanted = restricted(detections, below.select("image_id"), "image_id")
-    boxes = nms(wanted, options.conf, options.iou) if suppress else wanted.where(confident(options.conf))
+    if suppress:
+        wanted = restricted(detections, below.select("image_id"), "image_id")
+        boxes = nms(wanted, options.conf, options.iou)
+    else:
+        # counted before the join, so boxes of other images cost no shuffle of their own
+        boxes = detections.where(confident(options.conf))
     counts = blurred_per_image(below, boxes, classes, options.blur_classes, options.strict)
     return log_rows(counts, work.passed, stamp)
 
