@@ -54,13 +54,13 @@ def frame(spark, rows):
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("iou", [0.1, 0.4, 0.9])
-def test_nms_folded_and_in_rounds_equal_the_plain_loop(spark, iou):
-    rows = boxes_of(240, seed=int(iou * 10))
+@pytest.mark.parametrize("iou,fold_limit", [(0.1, 5), (0.4, 5), (0.4, 30), (0.9, 5)])
+def test_nms_folded_and_in_rounds_equal_the_plain_loop(spark, iou, fold_limit):
+    rows = boxes_of(120, seed=int(iou * 10))
     want = plain_nms(rows, 0.15, iou)
     df = frame(spark, rows)
     folded = sorted(r[0] for r in overlap.nms(df, 0.15, iou).select("det_id").collect())
-    rounds = sorted(r[0] for r in overlap.nms(df, 0.15, iou, fold_limit=1).select("det_id").collect())
+    rounds = sorted(r[0] for r in overlap.nms(df, 0.15, iou, fold_limit=fold_limit).select("det_id").collect())
     assert folded == want
     assert rounds == want
 

@@ -90,7 +90,7 @@ def image_run(
     options: Options,
     suppress: bool = True,
 ) -> dict[str, DataFrame]:
-    """One incremental run over images: redacted scanlines, log, summary, bad objects.
+    """One incremental run over images: names, redacted scanlines, log, summary, bad objects.
 
     `detect` maps scanlines to raw boxes. It sees only images below the altitude gate, and
     its result is written, so that no image is scored twice.
@@ -102,6 +102,7 @@ def image_run(
     kept = nms(raw, options.conf, options.iou) if suppress else raw.where(confident(options.conf))
     named = name_classes(kept, classes, options.strict)
     return {
+        "images": work.redact.select("image_id", "file_name"),
         "redacted": redact(lines, boxes_to_redact(named, options), options.kernel),
         "log": rows,
         "summary": run_summary(work.candidates, rows),

@@ -21,8 +21,8 @@ SMALL_ROWS = 10_000
 SMALL_IDS = 500_000
 """Largest list of single numbers, in rows, that is broadcast (a few megabytes)."""
 
-FOLD_LIMIT = 2_048
-"""Largest group that is folded as one array."""
+FOLD_LIMIT = 512
+"""Largest group that is folded as one array; the work is quadratic in its kept boxes."""
 
 HOT_ROWS = 1_000_000
 """Largest group that is sorted by one window task."""
