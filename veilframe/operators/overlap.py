@@ -36,8 +36,9 @@ class _Grid:
     """Cells that find every partner of a box.
 
     Partners have side ratios of at least `ratio`, and their upper left corners differ,
-    along each axis, by less than `reach` times the longer side. Each box lives in one
-    cell of the grid for its own size level; probing covers all cells a partner may be in.
+    along each axis, by less than `reach` times the side of the one that starts first.
+    Each box lives in one cell of the grid for its own size level; probing covers all
+    cells a partner may be in.
     """
 
     def __init__(self, ratio: float, reach: float) -> None:
@@ -71,9 +72,10 @@ class _Grid:
             mid = self._level(side)
             out = out.withColumn(level, F.explode(F.array(mid - 1, mid, mid + 1)))
             step = self._step(F.col(level))
-            # a partner of this level is at most one step, or this box's reach, away
-            far = F.greatest(step, F.lit(self.reach) * side.cast("double"))
-            cells = F.sequence(F.floor((low - far) / step), F.floor((low + far) / step))
+            # the gap is within the reach of whichever box starts first: a partner of this
+            # level is at most one step before, or this box's own reach behind
+            behind = F.lit(self.reach) * side.cast("double")
+            cells = F.sequence(F.floor((low - step) / step), F.floor((low + behind) / step))
             out = out.withColumn(cell, F.explode(cells))
         return out
 
