@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from veilframe.plans import registry
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
