@@ -7,8 +7,11 @@ room. A tournament tree over the free room of all sequences finds it in a few st
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,62 +26,84 @@ END = 2
 GROUP = 20_000
 """Pieces per group. A group needs a few sequences more than an optimal packing."""
 
-MEMO = 400_000
+MEMO = 700_000
 """Words that a worker remembers; all are forgotten when it is full."""
 
-Encoder = Callable[[str], np.ndarray]
+
+# The letters, numbers and white space of Latin-1 as Unicode has them, and the
+# contractions that the tokenizer splits off.
+LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+BLANKS = "\t-\r \x85\xa0"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+WORDS = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
 
 
 class WordTokenizer:
-    """Token ids of whole texts for a tokenizer that never joins text across white space.
+    """Token ids of whole texts for a tokenizer that lower-cases and encodes word by word.
 
-    Each different word is encoded once and remembered. Words are what lies between white
-    space as Python and the tokenizer both see it; texts with other separators are encoded
-    as a whole.
+    Each different word of Latin-1 texts is encoded once and remembered. Other texts, and
+    those that may hold a special token, are encoded as a whole.
     """
 
-    odd = "\x1c\x1d\x1e\x1f\x85"
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
+    def words(self, text: str) -> list[str] | None:
+        """The words, or None if they cannot be told from here."""
+        if "<|" in text:
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return WORDS.findall(text.lower())
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.sizes, self.flat, self.used = [], [], [], 0
+        # ids of all known words in one array; word i has flat[ends[i - 1] : ends[i]]
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = coded.ids
-                self.known[word] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                self.flat += ids
-                self.used += len(ids)
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        ids = [c.ids for c in coded]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum())])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The number of each word; unknown ones are learned."""
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = [words[i] for i in new]
+            self.learn(list(dict.fromkeys(fresh)))
+            place[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        return place
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        plain = [not any(c in t for c in self.odd) for t in texts]
-        needed = {w for ws, p in zip(words, plain, strict=True) if p for w in ws}
         if len(self.known) > MEMO:
             self.forget()
-        self.learn(sorted(w for w in needed if w not in self.known))
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
-        flat, known = np.array(self.flat, np.uint32), self.known
+        words = [self.words(t) for t in texts]
+        counts = np.array([len(ws or ()) for ws in words], np.int64)
+        place = self.places(list(chain.from_iterable(ws for ws in words if ws)))
+        start = self.ends[place]
+        size = self.ends[place + 1] - start
+        until = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(start - until[:-1], size) + np.arange(until[-1])]
+        cut_at = until[np.concatenate([[0], np.cumsum(counts)])]
         out = []
-        for text, ws, p in zip(texts, words, plain, strict=True):
-            if not p:
+        for i, text in enumerate(texts):
+            if words[i] is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            place = np.fromiter((known[w] for w in ws), np.int64, len(ws))
-            size = sizes[place]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.repeat(starts[place] - ends + size, size) + np.arange(total)])
+            else:
+                out.append(ids[cut_at[i] : cut_at[i + 1]])
         return out
 
 
