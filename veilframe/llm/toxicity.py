@@ -44,7 +44,7 @@ STEMS = (4, 5, 6)
 TIMES = (1, 2, 4, 8)
 """A feature that occurs so many times has its mark, with the number behind it if over 1."""
 
-MEMO = 500_000
+MEMO = 150_000
 """Words whose features a worker remembers; all are forgotten when it is full."""
 
 
