@@ -187,3 +187,15 @@ def test_letterbox_and_back(spark, auto, scaleup):
     back = there.select(*unletterbox(F.col("b.ratio"), F.col("b.dw"), F.col("b.dh")))
     for r in back.collect():
         assert all(abs(a - b) <= 1 for a, b in zip(r, (10, 5, 200, 30)))
+
+
+def test_scanlines_explode_without_pixels(spark):
+    rows = [(1, 400, 300, 3, [i % 251 for i in range(400 * 300 * 3)])]
+    schema = "image_id long, width int, height int, channels int, pixels array<int>"
+    df = raster.scanlines(spark.createDataFrame(rows, schema))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "pixels" not in generate.rpartition("[")[2]
+    assert df.count() == 900
+    line = df.where("y = 299 and c = 2").first()["vals"]
+    assert line == [((299 * 400 + x) * 3 + 2) % 251 for x in range(400)]

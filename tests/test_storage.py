@@ -62,8 +62,7 @@ def test_content_of_nothing_and_without_fetch(spark, store):
     assert objects.load_content(spark, listing, str(store), fetch=False).where("content is null").count() == 5
 
 
-def test_content_by_scan_when_there_are_many(spark, store, monkeypatch):
-    monkeypatch.setattr(objects, "SMALL_ROWS", 1)
+def test_content_of_all(spark, store):
     listing = objects.scan_objects(spark, str(store))
     assert objects.load_content(spark, listing, str(store)).where("octet_length(content) = length").count() == 5
 
@@ -118,7 +117,10 @@ def test_replace_by_key(spark, tmp_path):
     sinks.replace_by_key(first, path, "file_name", buckets=4)
     new = spark.range(95, 105).select(F.col("id").cast("string").alias("file_name"), F.lit(2).alias("v"))
     sinks.replace_by_key(new, path, "file_name", buckets=4)
-    sinks.replace_by_key(new, path, "file_name", keys=new.select("file_name"), buckets=4)
+    sinks.replace_by_key(new, path, "file_name", buckets=4)
+    with pytest.raises(ValueError, match="4 buckets"):
+        sinks.replace_by_key(new, path, "file_name", buckets=8)
+    sinks.replace_by_key(new.limit(0), path, "file_name", buckets=4)
     rows = {r["file_name"]: r["v"] for r in spark.read.parquet(path).collect()}
     assert rows == {str(i): 1 if i < 95 else 2 for i in range(105)}
     assert spark.read.parquet(path).count() == 105
@@ -159,3 +161,25 @@ def test_tables(spark, tmp_path):
     frames = spark.createDataFrame([(1, 0, "0.jpg")], "video_id bigint, frame_idx int, frame_name string")
     frames.write.parquet(str(tmp_path / "t"))
     assert tables.read_frames(spark, str(tmp_path / "t")).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("path", "root", "name"),
+    [
+        ("s3a://bucket/a/x.jpg", "s3a://bucket/", "a/x.jpg"),
+        ("s3a://data/data/x.jpg", "s3a://data/data", "x.jpg"),
+        ("file:/r/in/b/r/in/c.jpg", "/r/in", "b/r/in/c.jpg"),
+        ("file:/r/inner/c.jpg", "/r/in", None),
+    ],
+)
+def test_relative_path(spark, path, root, name):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert objects.with_relative_path(df, root).first()["file_name"] == name
+
+
+def test_content_of_missing_and_odd_names(spark, tmp_path):
+    (tmp_path / "a[1].jpg").write_bytes(b"abc")
+    listing = objects.scan_objects(spark, str(tmp_path))
+    gone = listing.withColumn("path", F.concat("path", F.lit("x")))
+    rows = objects.load_content(spark, listing.unionByName(gone), str(tmp_path)).collect()
+    assert sorted(bytes(r["content"] or b"") for r in rows) == [b"", b"abc"]

@@ -17,26 +17,25 @@ SCAN = ["image_id", "width", "height", "c", "y", "vals"]
 
 
 def scanlines(rasters: DataFrame) -> DataFrame:
-    """Unpack rasters (`pixels` row by row, channels last) without a shuffle."""
-    per_line = F.col("width") * F.col("channels")
-    lines = rasters.where((F.col("width") > 0) & (F.col("height") > 0)).select(
-        "image_id",
-        "width",
-        "height",
-        "channels",
-        "pixels",
-        F.explode(F.sequence(F.lit(0), F.col("height") * F.col("channels") - 1)).alias("_line"),
+    """Unpack rasters (`pixels` row by row, channels last) without a shuffle.
+
+    All lines of a raster are built in one expression and then exploded without `pixels`,
+    so the work is linear in its size.
+    """
+    width, channels = F.col("width"), F.col("channels")
+    at = lambda line, x: F.floor(line / channels).cast("int") * width * channels + x * channels + line % channels
+    plain = lambda line: F.slice("pixels", line * width + 1, width)
+    picked = lambda line: F.transform(
+        F.sequence(F.lit(0), width - 1), lambda x: F.get("pixels", at(line, x))
     )
-    c = (F.col("_line") % F.col("channels")).alias("c")
-    y = F.floor(F.col("_line") / F.col("channels")).cast("int")
-    start = y * per_line
-    plain = F.slice("pixels", start + 1, F.col("width"))
-    picked = F.transform(
-        F.sequence(F.lit(0), F.col("width") - 1),
-        lambda x: F.get("pixels", start + x * F.col("channels") + F.col("_line") % F.col("channels")),
+    line_of = lambda line: F.struct(
+        (line % channels).alias("c"),
+        F.floor(line / channels).cast("int").alias("y"),
+        F.when(channels == 1, plain(line)).otherwise(picked(line)).alias("vals"),
     )
-    vals = F.when(F.col("channels") == 1, plain).otherwise(picked)
-    return lines.select("image_id", "width", "height", c, y.alias("y"), vals.alias("vals"))
+    lines = F.transform(F.sequence(F.lit(0), F.col("height") * channels - 1), line_of)
+    some = rasters.where((width > 0) & (F.col("height") > 0))
+    return some.select("image_id", "width", "height", F.inline(lines))
 
 
 def pixels(scan: DataFrame) -> DataFrame:

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.plans.scale import SMALL_ROWS
-
 
 def _reader(spark: SparkSession, pattern: str | None):
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return reader.option("pathGlobFilter", pattern) if pattern else reader
 
 
+STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+"""Scheme and authority in front of a path."""
+
+
 def with_relative_path(df: DataFrame, root: str, name: str = "file_name") -> DataFrame:
-    """Add the path below `root`; `root` may be a plain path or a store URI."""
-    folder = urlparse(root).path.rstrip("/")
-    below: Column = F.substring(
-        F.col("path"), F.locate(folder, F.col("path")) + F.lit(len(folder) + 1), F.length("path")
-    )
-    return df.withColumn(name, below)
+    """Add the path below `root`, an absolute path or a store URI; null for paths elsewhere."""
+    folder = re.sub(STORE, "", root).rstrip("/") + "/"
+    path: Column = F.regexp_replace("path", STORE, "")
+    below = F.substring(path, F.lit(len(folder) + 1), F.length(path))
+    return df.withColumn(name, F.when(F.startswith(path, F.lit(folder)), below))
 
 
 def scan_objects(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -36,23 +37,21 @@ def load_content(
     spark: SparkSession, candidates: DataFrame, root: str, pattern: str | None = None,
     fetch: bool = True,
 ) -> DataFrame:
-    """Add `content` to the candidates.
+    """Add `content` to the candidates, from one scan of `root`.
 
-    A few candidates are read by their own paths; many are picked out of one scan of
-    `root`. With `fetch` off the candidates come back without bytes.
+    Objects older than all candidates are not opened. Candidates that are gone have null
+    content. With `fetch` off all have.
     """
     if not fetch:
         return candidates.withColumn("content", F.lit(None).cast("binary"))
-    names = candidates.select("path").take(SMALL_ROWS + 1)
-    if len(names) <= SMALL_ROWS:
-        if not names:
-            return candidates.withColumn("content", F.lit(None).cast("binary")).limit(0)
-        reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
-        found = reader.load([row["path"] for row in names])
-    else:
-        found = _reader(spark, pattern).option("ignoreMissingFiles", "true").load(root)
-    bytes_of = found.select("path", "content")
-    return candidates.join(bytes_of, "path")
+    found = _reader(spark, pattern).option("ignoreMissingFiles", "true").load(root)
+    if "last_modified" in candidates.columns:
+        oldest = candidates.agg(F.min("last_modified")).first()[0]
+        if oldest is not None:
+            found = found.where(F.col("modificationTime") >= F.lit(oldest))
+    wanted = candidates.select("path").distinct()
+    bytes_of = found.select("path", "content").join(wanted, "path", "left_semi")
+    return candidates.join(bytes_of, "path", "left")
 
 
 def scan_frames(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> DataFrame:

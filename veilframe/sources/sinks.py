@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.paths import dir_by_replace
+from veilframe.plans.scale import written
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
@@ -27,24 +28,28 @@ def _overwrite_partitions(df: DataFrame, path: str, *parts: str) -> None:
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def replace_by_key(
-    df: DataFrame, path: str, key: str, keys: DataFrame | None = None, buckets: int = 256
-) -> None:
+def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 256) -> None:
     """Write objects over their former version and leave all others as they are.
 
     Objects live in hash buckets. Only touched buckets are read and rewritten: their
-    untouched objects are carried over. `keys` names the objects when `df` is costly to
-    evaluate twice.
+    untouched objects are carried over. `df` is written aside first, so that names and
+    rows are the same ones. The number of buckets stays with the target; another is refused.
     """
+    spark, mark = df.sparkSession, f"{path.rstrip('/')}/_buckets"
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    fresh = df.withColumn("bucket", bucket)
-    old = _existing(df.sparkSession, path)
+    fresh = written(df.withColumn("bucket", bucket))
+    old = _existing(spark, path)
     if old is not None:
-        names = (df if keys is None else keys).select(key).distinct()
+        known = _existing(spark, mark)
+        before = known.first()["buckets"] if known is not None else None
+        if before != buckets:
+            raise ValueError(f"{path} has {before} buckets, not {buckets}")
         # at most `buckets` rows
-        touched = [r["bucket"] for r in names.select(bucket.alias("bucket")).distinct().collect()]
-        kept = old.where(F.col("bucket").isin(touched)).join(names, key, "left_anti")
-        fresh = fresh.unionByName(kept)
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+        kept = old.where(F.col("bucket").isin(touched)).join(fresh.select(key).distinct(), key, "left_anti")
+        fresh = written(fresh.unionByName(kept))
+    else:
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(mark)
     _overwrite_partitions(fresh, path, "bucket")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,18 +50,22 @@ def logged_batches(
 ) -> StreamingQuery:
     """Run `work(batch, log)` per batch and add its log rows to the log folder.
 
-    Copies of a `key` within a batch count once. Each batch owns one partition of the log
-    and does not see its own rows, so a batch that is run again after a failure gives the
-    same rows and overwrites them.
+    Copies of a `key` within a batch count once. Each batch owns one partition of the log,
+    named by the query id in the checkpoint and the batch number, and does not see its own
+    rows. So a batch that is run again after a failure overwrites its rows, and a second
+    source or a new checkpoint over the same log leaves them.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        log = read_log_path(batch.sparkSession, log_path)
+        spark = batch.sparkSession
+        query_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        own = f"{query_id}-{batch_id}"
+        log = read_log_path(spark, log_path)
         if "batch_id" in log.columns:
-            log = log.where(F.col("batch_id") != F.lit(batch_id))
+            log = log.where(F.col("batch_id").cast("string") != F.lit(own))
         batch = batch.dropDuplicates([key])
         rows = work(batch, log)
-        rows.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{log_path}/batch_id={own}")
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
