@@ -11,6 +11,9 @@ from veilframe.functions.labels import frame_seconds
 from veilframe.functions.paths import base_name, dir_by_replace, join_path, stem_number
 from veilframe.plans.scale import HOT_ROWS, numbered, positioned
 
+PUSHED = 1_000
+"""Largest rank that Spark limits before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold)."""
+
 
 def number_frames(
     frames: DataFrame, order: Sequence[Column | str], hot_rows: int = HOT_ROWS
@@ -28,14 +31,18 @@ def order_frames(frames: DataFrame, strict: bool = True, hot_rows: int = HOT_ROW
     return numbered(keyed, ["video_id"], ["stem", "frame_name"], "place", hot_rows=hot_rows)
 
 
-def first_frames(frames: DataFrame, n: int | None = 100) -> DataFrame:
+def first_frames(frames: DataFrame, n: int | None = 100, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The first frames of each video by number, or all of them for None.
 
-    The rank filter is applied before the shuffle too, so a hot video sends at most `n`
-    rows per task.
+    Up to `PUSHED` the rank filter is applied before the shuffle too, so a hot video sends at
+    most `n` rows per task. With a larger `n` frames are numbered, which splits a hot video.
     """
     if n is None:
         return frames
+    if n > PUSHED:
+        keyed = frames.withColumn("_stem", stem_number("frame_name"))
+        placed = numbered(keyed, ["video_id"], ["_stem", "frame_name"], "_place", hot_rows=hot_rows)
+        return placed.where(F.col("_place") < F.lit(n)).drop("_stem", "_place")
     rank = F.row_number().over(
         Window.partitionBy("video_id").orderBy(stem_number("frame_name"), "frame_name")
     )

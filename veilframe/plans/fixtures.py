@@ -11,23 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators.raster import scanlines
-from veilframe.plans.scale import HOT_ROWS, hot_keys, numbered
-
-_hot: dict[tuple[str, str, str], bool] = {}
+from veilframe.plans.scale import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _is_hot(df: DataFrame, sf_dir: str, key: str) -> bool:
-    """Whether a group of a given table exceeds one task; counted once per session."""
-    slot = (df.sparkSession.sparkContext.applicationId, sf_dir, key)
-    if slot not in _hot:
-        _hot[slot] = hot_keys(df, [key], HOT_ROWS) is not None
-    return _hot[slot]
-
-
 def v_objects(spark: SparkSession, d: str) -> DataFrame:
     return objects_of(table(spark, d, "orders"))
 
@@ -67,8 +57,7 @@ def _numbered_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", *LINE_ORDER, "l_quantity", "l_discount", "l_tax"
     )
-    hot = _is_hot(lines, d, "l_orderkey")
-    return numbered(lines, ["l_orderkey"], LINE_ORDER, "det_id", start=1, hot=hot)
+    return numbered(lines, ["l_orderkey"], LINE_ORDER, "det_id", start=1)
 
 
 def v_detections(spark: SparkSession, d: str) -> DataFrame:
@@ -87,8 +76,7 @@ def v_detections(spark: SparkSession, d: str) -> DataFrame:
 
 def v_frames(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("user_id", "ts", "event_id")
-    hot = _is_hot(events, d, "user_id")
-    return numbered(events, ["user_id"], ["ts", "event_id"], "n", start=0, hot=hot).select(
+    return numbered(events, ["user_id"], ["ts", "event_id"], "n", start=0).select(
         F.col("user_id").alias("video_id"),
         F.concat(F.col("n").cast("string"), F.lit(".jpg")).alias("frame_name"),
         "event_id",
@@ -103,6 +91,12 @@ def v_sizes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def with_sizes(spark: SparkSession, d: str, df: DataFrame, key: str) -> DataFrame:
+    """Add `width, height` of an image to every row: the sizes are dealt out by `key`."""
+    sizes = v_sizes(spark, d).withColumnRenamed("image_id", "_size")
+    return df.withColumn("_size", F.col(key) % sizes.count()).join(sizes, "_size").drop("_size")
+
+
 def v_rasters(spark: SparkSession, d: str) -> DataFrame:
     """Packed one-channel 8x8 rasters."""
     level = F.transform(
@@ -119,12 +113,24 @@ def v_rasters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def v_rasters3(spark: SparkSession, d: str) -> DataFrame:
-    """The same rasters with three channels."""
+def _three_channels(rasters: DataFrame) -> DataFrame:
     shifted = F.flatten(
         F.transform("pixels", lambda v: F.array(v, (v + 40) % 256, (v + 80) % 256))
     )
-    return v_rasters(spark, d).withColumns({"channels": F.lit(3), "pixels": shifted})
+    return rasters.withColumns({"channels": F.lit(3), "pixels": shifted})
+
+
+def v_rasters3(spark: SparkSession, d: str) -> DataFrame:
+    """The same rasters with three channels."""
+    return _three_channels(v_rasters(spark, d))
+
+
+def v_shots(spark: SparkSession, d: str) -> DataFrame:
+    """A raster for every order, so that each box has one: the rasters are dealt out by id."""
+    rasters = v_rasters(spark, d).withColumnRenamed("image_id", "_raster")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    dealt = orders.withColumn("_raster", F.col("image_id") % rasters.count())
+    return dealt.join(rasters, "_raster").drop("_raster")
 
 
 def v_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -135,12 +141,19 @@ def v_scan3(spark: SparkSession, d: str) -> DataFrame:
     return scanlines(v_rasters3(spark, d))
 
 
+def v_shot_scan(spark: SparkSession, d: str) -> DataFrame:
+    return scanlines(v_shots(spark, d))
+
+
+def v_shot_scan3(spark: SparkSession, d: str) -> DataFrame:
+    return scanlines(_three_channels(v_shots(spark, d)))
+
+
 def v_boxes8(spark: SparkSession, d: str) -> DataFrame:
-    """Non-empty boxes on the 8x8 rasters."""
-    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("l_orderkey"))
+    """A non-empty box for every detection, on the 8x8 rasters of the orders."""
     count = F.col("l_quantity").cast("bigint")
     left, top = F.col("l_partkey") % 6, F.col("l_suppkey") % 6
-    return _numbered_lines(spark, d).join(ids, "l_orderkey", "left_semi").select(
+    return _numbered_lines(spark, d).select(
         F.col("l_orderkey").alias("image_id"),
         F.col("det_id").cast("int").alias("det_id"),
         left.cast("int").alias("x0"),
@@ -189,6 +202,14 @@ SQL = {
     "v_pixels3": """
         select image_id, c, y, x, cast((v + 40 * c) % 256 as int) as v
         from v_pixels, (select unnest([0, 1, 2]) as c)""",
+    "v_shots": """
+        select o.image_id, y, x, v
+        from (select o_orderkey as image_id, o_orderkey % (select count(*) from embeddings) as raster
+              from orders) o
+        join v_pixels p on o.raster = p.image_id""",
+    "v_shots3": """
+        select image_id, c, y, x, cast((v + 40 * c) % 256 as int) as v
+        from v_shots, (select unnest([0, 1, 2]) as c)""",
     "v_boxes8": """
         select l_orderkey as image_id,
           cast(row_number() over (partition by l_orderkey
@@ -196,7 +217,7 @@ SQL = {
           cast(l_partkey % 6 as int) as x0, cast(l_suppkey % 6 as int) as y0,
           cast(least(8, l_partkey % 6 + 1 + cast(l_quantity as bigint) % 4) as int) as x1,
           cast(least(8, l_suppkey % 6 + 1 + cast(l_quantity as bigint) % 3) as int) as y1
-        from lineitem join embeddings on l_orderkey = vec_id""",
+        from lineitem""",
 }
 
 

@@ -290,41 +290,40 @@ def j2_class_names(spark: SparkSession, d: str) -> DataFrame:
     return named.select("image_id", "det_id", "class_id", "class_name")
 
 
-def _sure(spark: SparkSession, d: str) -> DataFrame:
-    boxes = X.v_detections(spark, d).where(D.confident(0.7))
-    return boxes.select("image_id", "det_id", "score")
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return X.v_detections(spark, d).select("image_id", "det_id", "score")
 
 
-SURE_SQL = "(select image_id, det_id, score from v_detections where score >= 0.7)"
+SCORED_SQL = "(select image_id, det_id, score from v_detections)"
 
 
 @query(
     "j3_inner",
-    f"select image_id, file_name, det_id, score from v_objects join {SURE_SQL} using (image_id)",
+    f"select image_id, file_name, det_id, score from v_objects join {SCORED_SQL} using (image_id)",
 )
 def j3_inner(spark: SparkSession, d: str) -> DataFrame:
     images = X.v_objects(spark, d).select("image_id", "file_name")
-    joined = D.images_with_boxes(images, _sure(spark, d), keep_empty=False)
+    joined = D.images_with_boxes(images, _scored(spark, d), keep_empty=False)
     return joined.select("image_id", "file_name", "det_id", "score")
 
 
 @query(
     "j3_left",
-    f"select image_id, file_name, det_id, score from v_objects left join {SURE_SQL} using (image_id)",
+    f"select image_id, file_name, det_id, score from v_objects left join {SCORED_SQL} using (image_id)",
 )
 def j3_left(spark: SparkSession, d: str) -> DataFrame:
     images = X.v_objects(spark, d).select("image_id", "file_name")
-    joined = D.images_with_boxes(images, _sure(spark, d), keep_empty=True)
+    joined = D.images_with_boxes(images, _scored(spark, d), keep_empty=True)
     return joined.select("image_id", "file_name", "det_id", "score")
 
 
 @query(
     "j4_pixels_in_boxes",
-    """select p.image_id, b.det_id, p.y, p.x, p.v from v_pixels p join v_boxes8 b
+    """select p.image_id, b.det_id, p.y, p.x, p.v from v_shots p join v_boxes8 b
        on p.image_id = b.image_id and p.x >= b.x0 and p.x < b.x1 and p.y >= b.y0 and p.y < b.y1""",
 )
 def j4_pixels_in_boxes(spark: SparkSession, d: str) -> DataFrame:
-    hit = raster.pixels_in_boxes(X.v_scan(spark, d), X.v_boxes8(spark, d))
+    hit = raster.pixels_in_boxes(X.v_shot_scan(spark, d), X.v_boxes8(spark, d))
     return hit.select("image_id", "det_id", "y", "x", "v")
 
 
@@ -452,13 +451,13 @@ def a7_frames_per_video(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Frames with the size and id of an image: part sizes, matched by event number."""
-    sizes = X.v_sizes(spark, d).withColumnRenamed("image_id", "event_id")
-    return X.v_frames(spark, d).join(sizes, "event_id")
+    """All frames with a size: part sizes, dealt out by event number."""
+    return X.with_sizes(spark, d, X.v_frames(spark, d), "event_id")
 
 
 SIZED_SQL = """(select f.*, s.width, s.height, cast(split_part(frame_name, '.', 1) as bigint) as stem
-    from v_frames f join v_sizes s on f.event_id = s.image_id)"""
+    from (select *, event_id % (select count(*) from part) as size_id from v_frames) f
+    join v_sizes s on f.size_id = s.image_id)"""
 
 
 @query(
@@ -582,8 +581,8 @@ def w4_blur_waves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _redact_sql(k: int, rounds: int = 16) -> str:
-    """One offset join per wave, unrolled; the fixture's overlap depth is below `rounds`."""
-    steps, source = [], "v_pixels"
+    """One offset join per wave, unrolled; no row at all if the boxes need more than `rounds` waves."""
+    steps, source = [], "v_shots"
     for wave in range(rounds):
         boxes = f"(select * from waves where wave = {wave})"
         steps.append(f"m{wave} as ({_mean_sql(boxes, source, k)})")
@@ -593,12 +592,13 @@ def _redact_sql(k: int, rounds: int = 16) -> str:
         )
         source = f"r{wave}"
     return f"""with recursive {WAVE_SQL}, {', '.join(steps)}
-        select image_id, y, x, v from {source}"""
+        select image_id, y, x, v from {source}
+        where (select coalesce(max(wave), 0) from waves) < {rounds}"""
 
 
 @query("w5_redact", _redact_sql(5))
 def w5_redact(spark: SparkSession, d: str) -> DataFrame:
-    done = waves.redact(X.v_scan(spark, d), X.v_boxes8(spark, d), 5)
+    done = waves.redact(X.v_shot_scan(spark, d), X.v_boxes8(spark, d), 5)
     return raster.pixels(done).select("image_id", "y", "x", "v")
 
 
@@ -760,11 +760,12 @@ def f11_letterbox(spark: SparkSession, d: str) -> DataFrame:
     f"""select b.image_id, det_id, round_even((x0 - dw) / ratio, 0)::int as x0,
           round_even((y0 - dh) / ratio, 0)::int as y0, round_even((x1 - dw) / ratio, 0)::int as x1,
           round_even((y1 - dh) / ratio, 0)::int as y1
-        from v_detections b join {LETTERBOX_SQL} s using (image_id)""",
+        from (select *, image_id % (select count(*) from part) as size_id from v_detections) b
+        join {LETTERBOX_SQL} s on b.size_id = s.image_id""",
 )
 def f12_unletterbox(spark: SparkSession, d: str) -> DataFrame:
-    sizes = X.v_sizes(spark, d).withColumn("b", G.letterbox("width", "height", auto=False))
-    boxes = X.v_detections(spark, d).join(sizes, "image_id")
+    sized = X.with_sizes(spark, d, X.v_detections(spark, d), "image_id")
+    boxes = sized.withColumn("b", G.letterbox("width", "height", auto=False))
     back = G.unletterbox(F.col("b.ratio"), F.col("b.dw"), F.col("b.dh"))
     return boxes.select("image_id", "det_id", *back)
 
@@ -833,10 +834,10 @@ def f17_to_tensor(spark: SparkSession, d: str) -> DataFrame:
              and p.x >= b.x0 and p.x < b.x1 and p.y >= b.y0 and p.y < b.y1
              and (p.x < b.x0 + 2 or p.x >= b.x1 - 2 or p.y < b.y0 + 2 or p.y >= b.y1 - 2))
            then case p.c when 1 then 255 else 0 end else p.v end as v
-       from v_pixels3 p""",
+       from v_shots3 p""",
 )
 def f18_outline(spark: SparkSession, d: str) -> DataFrame:
-    return raster.pixels(raster.draw_outlines(X.v_scan3(spark, d), X.v_boxes8(spark, d)))
+    return raster.pixels(raster.draw_outlines(X.v_shot_scan3(spark, d), X.v_boxes8(spark, d)))
 
 
 @query(
