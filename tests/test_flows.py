@@ -91,6 +91,25 @@ def test_image_run(spark):
     assert (got[1] == want).all() and (got[9] == images[9]).all()
 
 
+def test_the_log_counts_the_boxes_that_are_applied(spark):
+    """Boxes without a whole pixel, outside the image, or of unknown classes elsewhere."""
+    images = pictures()
+    boxes = spark.createDataFrame(
+        [(1, 1, 1, 0.9, 2.2, 2.0, 2.9, 6.0), (1, 2, 1, 0.9, 20.0, 20.0, 30.0, 30.0), (9, 1, 1, 0.9, 0.0, 0.0, 3.0, 3.0),
+         (8, 1, 77, 0.9, 0.0, 0.0, 3.0, 3.0)],
+        "image_id bigint, det_id int, class_id int, score double, x0 double, y0 double, x1 double, y1 double",
+    )
+    log = spark.createDataFrame([("a/8.jpg",)], "file_name string")
+    for suppress in (False, True):
+        out = image_run(
+            objects(spark), log, pack(spark, images), lambda lines: boxes, classes(spark), F.lit(NOW), OPTIONS, suppress
+        )
+        rows = {r["file_name"]: (r["blurred"], r["blurred_objects"]) for r in out["log"].collect()}
+        assert rows == {"a/1.jpg": (False, 0), "a/2.jpg": (False, 0), "a/9.jpg": (True, 1)}
+        got = unpack(out["redacted"])
+        assert (got[1] == images[1]).all() and not (got[9] == images[9]).all()
+
+
 @pytest.mark.parametrize("only_with_boxes", [False, True])
 def test_video_run(spark, only_with_boxes):
     seen, images = set(), pictures()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from veilframe.operators.selection import (
     split_routes,
     with_altitude,
 )
+from veilframe.operators.raster import clip_boxes, image_sizes
 from veilframe.operators.waves import redact
 from veilframe.plans.scale import restricted, written
 
@@ -49,20 +50,38 @@ def choose_work(objects: DataFrame, log: DataFrame, as_of: Column, options: Opti
     return Work(chosen, quarantined(checked), below, above)
 
 
+def settled(work: Work) -> Work:
+    """The same work, written: a store or log that changes during the run does not change it."""
+    return Work(*(written(getattr(work, f.name)) for f in fields(work)))
+
+
+def kept_detections(below: DataFrame, detections: DataFrame, options: Options, suppress: bool) -> DataFrame:
+    """Confident detections of the images of a run; other images are left out first.
+
+    `suppress` removes overlapping boxes, for detectors that do not.
+    """
+    wanted = restricted(detections, below.select("image_id"), "image_id")
+    return nms(wanted, options.conf, options.iou) if suppress else wanted.where(confident(options.conf))
+
+
+def counted_log(work: Work, boxes: DataFrame, stamp: Column) -> DataFrame:
+    """Log rows of a run from its applied boxes: the blurred ones are counted per image."""
+    blurred = boxes.where("blur").groupBy("image_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    counts = work.redact.select("image_id", "file_name").join(blurred, "image_id", "left")
+    return log_rows(counts.withColumn("blurred_objects", F.coalesce("_n", F.lit(0))), work.passed, stamp)
+
+
 def image_log(
     work: Work, detections: DataFrame, classes: DataFrame, stamp: Column, options: Options,
     suppress: bool = True,
 ) -> DataFrame:
-    """Log rows of a run. `suppress` removes overlapping boxes, for detectors that do not."""
+    """Log rows of a run without rasters: the kept detections on the blur list are counted.
+
+    `image_run` logs the boxes that it applies, which leaves out those without a pixel.
+    """
     below = work.redact.select("image_id", "file_name")
-    if suppress:
-        wanted = restricted(detections, below.select("image_id"), "image_id")
-        boxes = nms(wanted, options.conf, options.iou)
-    else:
-        # counted before the join, so boxes of other images cost no shuffle of their own
-        boxes = detections.where(confident(options.conf))
-    counts = blurred_per_image(below, boxes, classes, options.blur_classes, options.strict)
-    return log_rows(counts, work.passed, stamp)
+    kept = kept_detections(below, detections, options, suppress)
+    return log_rows(blurred_per_image(below, kept, classes, options.blur_classes, options.strict), work.passed, stamp)
 
 
 def boxes_to_redact(boxes: DataFrame, options: Options) -> DataFrame:
@@ -95,15 +114,16 @@ def image_run(
     `detect` maps scanlines to raw boxes. It sees only images below the altitude gate, and
     its result is written, so that no image is scored twice.
     """
-    work = choose_work(objects, log, as_of, options)
+    work = settled(choose_work(objects, log, as_of, options))
     lines = restricted(scan, work.redact.select("image_id"), "image_id")
     raw = written(detect(lines))
-    rows = written(image_log(work, raw, classes, as_of, options, suppress))
-    kept = nms(raw, options.conf, options.iou) if suppress else raw.where(confident(options.conf))
-    named = name_classes(kept, classes, options.strict)
+    kept = kept_detections(work.redact, raw, options, suppress)
+    found = boxes_to_redact(name_classes(kept, classes, options.strict), options)
+    boxes = written(clip_boxes(found, image_sizes(lines)))
+    rows = written(counted_log(work, boxes, as_of))
     return {
         "images": work.redact.select("image_id", "file_name"),
-        "redacted": redact(lines, boxes_to_redact(named, options), options.kernel),
+        "redacted": redact(lines, boxes, options.kernel),
         "log": rows,
         "summary": run_summary(work.candidates, rows),
         "bad": work.bad,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,9 @@ from veilframe.operators import overlap, raster, runlog, waves
 from veilframe.operators import selection as S
 from veilframe.operators.scoring import score
 from veilframe.plans import fixtures as X
-from veilframe.plans.flows import choose_work, image_log
+from veilframe.plans.flows import choose_work, image_log, image_run
 from veilframe.plans.scale import work_dir
-from veilframe.sources import logs, objects, sinks
+from veilframe.sources import logs, objects, sinks, tables
 from veilframe.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +128,101 @@ def s12_layout(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("dir").agg(F.count(F.lit(1)).alias("objects"))
 
 
+def _export_by_folder(spark: SparkSession, d: str) -> str:
+    """The pages as text objects in four folders."""
+    root = work_dir(spark, "folders")
+    pages = X.table(spark, d, "pages").select("html", (F.col("page_id") % 4).alias("part"))
+    pages.write.partitionBy("part").text(root)
+    return root
+
+
+FOLDER_SQL = """select concat('part=', cast(page_id % 4 as varchar)) as folder,
+    cast(sum(strlen(html) + 1) as bigint) as bytes from pages group by 1"""
+
+
+@query("s3_relative_path", FOLDER_SQL)
+def s3_relative_path(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes per first folder of the names below the root."""
+    listing = objects.scan_objects(spark, _export_by_folder(spark, d))
+    folder = F.split("file_name", "/")[0].alias("folder")
+    return listing.groupBy(folder).agg(F.sum("length").cast("bigint").alias("bytes"))
+
+
+@query("s4_frame_folder", FOLDER_SQL)
+def s4_frame_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Each folder scanned by itself; the names are those of the objects in it."""
+    root = _export_by_folder(spark, d)
+    scans = [objects.scan_frames(spark, f"{root}/part={n}", "*.txt") for n in range(4)]
+    both = reduce(DataFrame.unionByName, scans).where(F.endswith("frame_name", F.lit(".txt")))
+    folder = F.element_at(F.split("path", "/"), -2).alias("folder")
+    return both.groupBy(folder).agg(F.sum("length").cast("bigint").alias("bytes"))
+
+
+@query("s5_log_table", "select file_name from v_objects")
+def s5_log_table(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog table that is made by the first append and gets a column by the second."""
+    name = f"log_{uuid.uuid4().hex}"
+    items = X.v_objects(spark, d).select("file_name", "length", "altitude")
+    if not logs.read_log(spark, name).isEmpty():
+        raise ValueError("a log that does not exist is not empty")
+    logs.append_log(items.where(F.col("altitude").isNull()).drop("altitude"), name)
+    logs.append_log(items.where(F.col("altitude").isNotNull()), name)
+    return logs.read_log(spark, name)
+
+
+@query(
+    "s6_stored_detections",
+    """select cast(image_id as varchar) as image_path, class_id, class_name, cast(x0 as int) as x0,
+         cast(y0 as int) as y0, cast(x1 as int) as x1, cast(y1 as int) as y1
+       from v_boxes8 join (select image_id, det_id, class_id from v_detections) using (image_id, det_id)
+       join v_classes using (class_id)""",
+)
+def s6_stored_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Published detection records, stored and read by their schema."""
+    path = work_dir(spark, "detections")
+    boxes = D.name_classes(_scored_boxes8(spark, d), X.v_classes(spark, d))
+    D.detection_rows(boxes.withColumn("image_path", F.col("image_id").cast("string"))).write.parquet(path)
+    return tables.read_detections(spark, path).drop("base_image", "score")
+
+
+def _scored_boxes8(spark: SparkSession, d: str) -> DataFrame:
+    scores = X.v_detections(spark, d).select("image_id", "det_id", "class_id", "score")
+    return X.v_boxes8(spark, d).join(scores, ["image_id", "det_id"])
+
+
+@query("s9_write_once", "select file_name, length from v_objects")
+def s9_write_once(spark: SparkSession, d: str) -> DataFrame:
+    """Objects are written once and others added once; a repetition of either is refused."""
+    path = work_dir(spark, "once")
+    items = X.v_objects(spark, d).select("file_name", "length")
+    large = items.where(F.col("length") >= 1024)
+    sinks.write_once(large, path)
+    sinks.add_once(items.where(F.col("length") < 1024), path, "file_name")
+    for again in (lambda: sinks.write_once(large, path), lambda: sinks.add_once(large, path, "file_name")):
+        try:
+            again()
+        except (AnalysisException, ValueError):
+            continue
+        raise ValueError("a second write went through")
+    return spark.read.parquet(path)
+
+
+@query(
+    "s10_reload",
+    """select video_id, frame_name, event_id + case when video_id % 3 = 0 then 1 else 0 end as event_id
+       from v_frames where video_id % 3 <> 0 or event_id % 2 = 0""",
+)
+def s10_reload(spark: SparkSession, d: str) -> DataFrame:
+    """Every third video is reloaded with half its frames; the others stay."""
+    path = work_dir(spark, "frames")
+    frames = X.v_frames(spark, d)
+    sinks.reload_frames(frames, path)
+    some = frames.where("video_id % 3 = 0 and event_id % 2 = 0")
+    sinks.reload_frames(some.withColumn("event_id", F.col("event_id") + 1), path)
+    back = spark.read.parquet(path)
+    return back.select(F.col("video_id").cast("bigint").alias("video_id"), "frame_name", "event_id")
+
+
 # --- selection ---------------------------------------------------------------------
 
 IMAGE_SQL = """(lower(file_name) like '%.jpg' or lower(file_name) like '%.jpeg'
@@ -602,6 +700,32 @@ def w5_redact(spark: SparkSession, d: str) -> DataFrame:
     return raster.pixels(done).select("image_id", "y", "x", "v")
 
 
+@query(
+    "e1_image_run",
+    f"""select file_name, blurred_objects > 0 as blurred, blurred_objects, pixels from (
+          select c.file_name, cast(count(b.det_id) as int) as blurred_objects,
+            cast(max(case when c.altitude < 200 then 64 end) as bigint) as pixels
+          from ({CANDIDATE_SQL}) c left join (
+            select image_id, det_id from v_detections join v_classes using (class_id)
+            where class_name in ('ASIA', 'EUROPE') and score >= 0.15) b
+          on c.image_id = b.image_id and c.altitude < 200
+          where c.length >= 1024 and c.altitude is not null group by c.file_name)""",
+)
+def e1_image_run(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run: what it logs for each image, and the pixels it writes of those below the gate."""
+
+    def detect(lines: DataFrame) -> DataFrame:
+        return _scored_boxes8(spark, d).join(lines.select("image_id").distinct(), "image_id", "left_semi")
+
+    out = image_run(
+        X.v_objects(spark, d), X.v_log(spark, d), X.v_shot_scan(spark, d), detect,
+        X.v_classes(spark, d), as_of(spark, d), OPTIONS, suppress=False,
+    )
+    pixels = out["redacted"].groupBy("image_id").agg(F.sum(F.size("vals")).cast("bigint").alias("pixels"))
+    named = pixels.join(out["images"], "image_id").select("file_name", "pixels")
+    return out["log"].join(named, "file_name", "left").drop("datetime")
+
+
 # --- order and set operations ------------------------------------------------------
 
 
