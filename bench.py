@@ -30,6 +30,7 @@ HEADLINE = [
     "w3_box_blur",
     "w4_blur_waves",
     "w5_redact",
+    "e1_image_run",
     "o3_path_order",
     "f15_resample",
     "f17_to_tensor",
