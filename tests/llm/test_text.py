@@ -135,3 +135,26 @@ def test_pipeline_keeps_clean_documents(spark, sf):
         assert at.count() <= before
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == at.count() > 0.7 * before
+
+
+def test_swapped_identity_terms_do_not_move_the_logit(spark):
+    """Toxic texts name one group and clean ones another, with beginnings and counts as marks too."""
+    toxic = [f"the muslims said muslims like word{i % 7} and vile{i % 3}" for i in range(60)]
+    clean = [f"the hindus said hindus like word{i % 7} and kind{i % 3}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    for text in ("we met {} today", "{} and {} said word1"):
+        logits = [model.logit(text.replace("{}", w)) for w in ("muslims", "hindus")]
+        assert abs(logits[0] - logits[1]) < 0.1
+    assert model.logit("vile1") - model.logit("kind1") > 0.5
+
+
+def test_swapped_marks_are_those_of_the_swapped_text():
+    text, groups = "Muslims muslim hindus muslims old men", toxicity.IDENTITY_GROUPS
+    words = toxicity.WORD.findall(text.lower())
+    want = []
+    for a, b in toxicity.swaps(set(words), groups):
+        old, new = toxicity.marks_of(text), toxicity.marks_of(" ".join(b if w == a else w for w in words))
+        want.append((old - new, new - old))
+    assert toxicity.swapped_marks(text, groups) == want

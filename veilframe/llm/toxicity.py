@@ -2,7 +2,7 @@
 
 A logistic regression over the words of a text and their beginnings, each as marks for one,
 two, four or eight occurrences. In each labelled text, identity terms are swapped for others
-of their group; the squared change of the logit is part of the loss, so that naming a group
+of their group; the squared change of the logit, over all marks that change, is part of the loss, so that naming a group
 does not move the score.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -107,8 +107,25 @@ def swaps(words: set[str], groups: tuple[tuple[str, ...], ...]) -> list[tuple[st
     return [(a, b) for group in groups for a in group if a in words for b in group if b not in words]
 
 
+def swapped_marks(text: str | None, groups: tuple[tuple[str, ...], ...]) -> list[tuple[set[str], set[str]]]:
+    """For each swap in a text, the marks that the swapped text no longer has, and those it has anew."""
+    words = Counter(WORD.findall(text.lower()) if text else ())
+    counts: Counter[str] = Counter()
+    for word, n in words.items():
+        for f in word_features(word):
+            counts[f] += n
+    out = []
+    for a, b in swaps(set(words), groups):
+        change = Counter(dict.fromkeys(word_features(b), words[a]))
+        change.subtract(dict.fromkeys(word_features(a), words[a]))
+        gone = {mark(f, n) for f, c in change.items() for n in TIMES if counts[f] + c < n <= counts[f]}
+        come = {mark(f, n) for f, c in change.items() for n in TIMES if counts[f] < n <= counts[f] + c}
+        out.append((gone, come))
+    return out
+
+
 def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float]:
-    """doc_id, y, marks of up to `sample` labelled rows per class, and the share of class 1 among all.
+    """doc_id, y, text, marks of up to `sample` labelled rows per class, and the share of class 1 among all.
 
     The rows with the smallest hashes are taken. An id with several labels has the largest.
     """
@@ -125,7 +142,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFr
     def words(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted(marks_of(t)))
 
-    return written(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "y", words("text").alias("words"))), share
+    return written(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "y", "text", words("text").alias("words"))), share
 
 
 def choose_words(rows: DataFrame, settings: Settings) -> list[str]:
@@ -147,12 +164,14 @@ def choose_words(rows: DataFrame, settings: Settings) -> list[str]:
     return sorted(chosen | {w for group in settings.identity_groups for w in group})
 
 
-def fit(present: list[list[int]], y: np.ndarray, pairs: list[tuple[int, int]], size: int, settings: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on log loss, ridge and the squared logit change of `pairs` (from, to)."""
+def fit(present: list[list[int]], y: np.ndarray, pairs: list[tuple[int | list[int], int | list[int]]], size: int, settings: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on log loss, ridge and the squared logit change of `pairs` (marks gone, marks come)."""
     row = np.repeat(np.arange(len(present)), [len(p) for p in present])
     col = np.array([c for p in present for c in p], np.int64)
-    old = np.array([p[0] for p in pairs], np.int64)
-    new = np.array([p[1] for p in pairs], np.int64)
+    pairs = [tuple(np.array(x, np.int64).reshape(-1) for x in pair) for pair in pairs]
+    swap = np.repeat(np.arange(len(pairs)), [len(gone) + len(come) for gone, come in pairs])
+    moved = np.array([c for gone, come in pairs for c in (*gone, *come)], np.int64)
+    sign = np.array([x for gone, come in pairs for x in (*[1.0] * len(gone), *[-1.0] * len(come))], float)
     w = np.zeros(size + 1)  # the last one is the bias
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, settings.steps + 1):
@@ -161,8 +180,8 @@ def fit(present: list[list[int]], y: np.ndarray, pairs: list[tuple[int, int]], s
         grad = np.append(np.bincount(col, miss[row], size), miss.sum())
         grad[:-1] += settings.ridge * w[:-1]
         if len(pairs):
-            change = (w[old] - w[new]) * (2 * settings.swap_weight / len(pairs))
-            grad[:-1] += np.bincount(old, change, size) - np.bincount(new, change, size)
+            change = np.bincount(swap, sign * w[moved], len(pairs)) * (2 * settings.swap_weight / len(pairs))
+            grad[:-1] += np.bincount(moved, sign * change[swap], size)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
         w -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -178,8 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     rows, share = sample_rows(docs, labels, settings.sample)
     vocabulary = choose_words(rows, settings)
     number = {w: i for i, w in enumerate(vocabulary)}
-    numbered = rows.select("y", "words").mapInPandas(
-        lambda batches: number_words(batches, number), "y int, words array<int>"
+    groups = settings.identity_groups
+    numbered = rows.select("y", "text", "words").mapInPandas(
+        lambda batches: number_words(batches, number, groups),
+        "y int, words array<int>, gone array<array<int>>, come array<array<int>>",
     )
     data = numbered.toPandas()
     prior = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
@@ -188,9 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     present = [sorted(w) for w in data["words"]]
     y = data["y"].to_numpy(float)
     pairs = [
-        (number[a], number[b])
-        for p in present
-        for a, b in swaps({vocabulary[i] for i in p}, settings.identity_groups)
+        (list(gone), list(come))
+        for row in zip(data["gone"], data["come"], strict=True)
+        for gone, come in zip(*row, strict=True)
     ]
     weights, bias = fit(present, y, pairs, len(vocabulary), settings)
     # the sample has other class shares than the labels
@@ -198,10 +219,22 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return Model({w: float(x) for w, x in zip(vocabulary, weights, strict=True) if x}, bias)
 
 
-def number_words(batches: Iterator[pd.DataFrame], number: dict[str, int]) -> Iterator[pd.DataFrame]:
+def number_words(
+    batches: Iterator[pd.DataFrame], number: dict[str, int], groups: tuple[tuple[str, ...], ...]
+) -> Iterator[pd.DataFrame]:
+    def numbers(marks: Iterable[str]) -> list[int]:
+        return sorted(number[m] for m in marks if m in number)
+
     for batch in batches:
-        words = batch["words"].map(lambda ws: sorted(number[w] for w in ws if w in number))
-        yield pd.DataFrame({"y": batch["y"], "words": words})
+        swapped = [swapped_marks(t, groups) for t in batch["text"]]
+        yield pd.DataFrame(
+            {
+                "y": batch["y"],
+                "words": batch["words"].map(numbers),
+                "gone": pd.Series([[numbers(g) for g, _ in s] for s in swapped], batch.index, object),
+                "come": pd.Series([[numbers(c) for _, c in s] for s in swapped], batch.index, object),
+            }
+        )
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
