@@ -7,10 +7,15 @@ take a path that splits them.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import fields, is_dataclass
+from functools import reduce, wraps
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,13 +56,109 @@ def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write the rows to a table in the shared folder and read them back.
 
     Unlike an RDD checkpoint the rows are computed once, and later reads prune columns and
-    push filters down. The table survives lost executors.
+    push filters down. The table survives lost executors. Inside `scratch` it is deleted at
+    the end of the scope.
     """
     path = work_dir(df.sparkSession, "step")
     df.write.parquet(path)
+    if (own := _scope.get()) is not None:
+        own.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scope: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scope", default=None)
+"""Tables that the innermost scope has written so far."""
+
+STEP = re.compile(r"step-[0-9a-f]{32}")
+"""The folder of a written table."""
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def frames_in(result: Any) -> list[DataFrame]:
+    """The tables of a result: a table, or tables in a mapping, a sequence or a dataclass."""
+    if isinstance(result, DataFrame):
+        return [result]
+    if isinstance(result, Mapping):
+        return [df for part in result.values() for df in frames_in(part)]
+    if is_dataclass(result):
+        return [df for f in fields(result) for df in frames_in(getattr(result, f.name))]
+    if isinstance(result, Sequence) and not isinstance(result, str):
+        return [df for part in result for df in frames_in(part)]
+    return []
+
+
+def steps_of(*results: Any) -> set[str]:
+    """Folder names of the written tables that results read."""
+    files = [file for part in results for df in frames_in(part) for file in df.inputFiles()]
+    return {m[0] for file in files if (m := STEP.search(file))}
+
+
+class Scratch:
+    """The written tables of a scope."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *results: Any) -> None:
+        """Leave the tables that these results read to the scope around this one."""
+        self.kept |= steps_of(*results)
+
+    def drop(self, *results: Any) -> None:
+        """Delete the tables of this scope that these results read, after their last use."""
+        gone = steps_of(*results)
+        for entry in [t for t in self.tables if t[1].rpartition("/")[2] in gone]:
+            self.tables.remove(entry)
+            delete(*entry)
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """A scope at whose end its written tables are deleted, also after an error.
+
+    Tables of kept results belong to the scope around it from then on; if there is none
+    they stay until `release`.
+    """
+    scope, failed = Scratch(), True
+    token = _scope.set(scope.tables)
+    try:
+        yield scope
+        failed = False
+    finally:
+        _scope.reset(token)
+        outer = _scope.get()
+        for spark, path in scope.tables:
+            if failed or path.rpartition("/")[2] not in scope.kept:
+                delete(spark, path)
+            elif outer is not None:
+                outer.append((spark, path))
+
+
+def tidy[**P, R](work: Callable[P, R]) -> Callable[P, R]:
+    """Delete what a function writes on the way; the tables that its result reads stay."""
+
+    @wraps(work)
+    def run(*args: P.args, **kwargs: P.kwargs) -> R:
+        with scratch() as scope:
+            result = work(*args, **kwargs)
+            scope.keep(result)
+        return result
+
+    return run
+
+
+def release(result: Any) -> None:
+    """Delete the written tables that a result reads, when nothing reads the result any more."""
+    spark = next(df.sparkSession for df in frames_in(result))
+    for name in steps_of(result):
+        delete(spark, f"{shared_dir(spark).rstrip('/')}/{name}")
+
+
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Mark a side for broadcast only when it is counted to be small."""
     fits = df.limit(max_rows + 1).count() <= max_rows
