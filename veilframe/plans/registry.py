@@ -678,20 +678,42 @@ def w4_blur_waves(spark: SparkSession, d: str) -> DataFrame:
     return waves.blur_waves(X.v_boxes8(spark, d)).select("image_id", "det_id", "wave")
 
 
-def _redact_sql(k: int, rounds: int = 16) -> str:
-    """One offset join per wave, unrolled; no row at all if the boxes need more than `rounds` waves."""
-    steps, source = [], "v_shots"
-    for wave in range(rounds):
-        boxes = f"(select * from waves where wave = {wave})"
-        steps.append(f"m{wave} as ({_mean_sql(boxes, source, k)})")
-        steps.append(
-            f"r{wave} as materialized (select p.image_id, p.y, p.x, coalesce(m.v, p.v) as v "
-            f"from {source} p left join m{wave} m using (image_id, y, x))"
-        )
-        source = f"r{wave}"
-    return f"""with recursive {WAVE_SQL}, {', '.join(steps)}
-        select image_id, y, x, v from {source}
-        where (select coalesce(max(wave), 0) from waves) < {rounds}"""
+SHOT_LISTS = """select o_orderkey as image_id, list_transform(embedding, lambda v:
+        cast(least(255, greatest(0, floor((cast(v as double) + 1) * 127.5))) as int)) as px
+      from orders join embeddings on vec_id = o_orderkey % (select count(*) from embeddings)"""
+
+
+def _fold_sql(boxes: str, k: int, shots: str = SHOT_LISTS) -> str:
+    """CTEs up to `folded` (image_id, px): `boxes` blurred one after another in `det_id` order.
+
+    Each image is a list of its 64 values, and a step of the recursion blurs one box of each
+    image: the plain definition, without waves.
+    """
+
+    def mirrored(p: str, n: str) -> str:
+        period = f"greatest(2 * ({n} - 1), 1)"
+        m = f"((({p}) % {period} + {period}) % {period})"
+        return f"(case when {n} = 1 then 0 when {m} < {n} then {m} else 2 * ({n} - 1) - {m} end)"
+
+    x = f"b.x0 + {mirrored(f'i % 8 - b.x0 + o % {k} - {k // 2}', '(b.x1 - b.x0)')}"
+    y = f"b.y0 + {mirrored(f'i // 8 - b.y0 + o // {k} - {k // 2}', '(b.y1 - b.y0)')}"
+    inside = "i % 8 >= b.x0 and i % 8 < b.x1 and i // 8 >= b.y0 and i // 8 < b.y1"
+    mean = f"round_even(list_sum(list_transform(range({k * k}), lambda o: s.px[(1 + 8 * ({y}) + {x})::int])) / {k * k}.0::double, 0)"
+    return f"""shots as ({shots}),
+        turns as (select *, row_number() over (partition by image_id order by det_id) as step from {boxes}),
+        state as (
+          select image_id, 0::bigint as step, px from shots
+          union all
+          select s.image_id, s.step + 1,
+            list_transform(range(64), lambda i: case when {inside} then cast({mean} as int) else s.px[(i + 1)::int] end)
+          from state s join turns b on b.image_id = s.image_id and b.step = s.step + 1),
+        folded as (select image_id, arg_max(px, step) as px from state group by image_id)"""
+
+
+def _redact_sql(k: int) -> str:
+    return f"""with recursive {_fold_sql('v_boxes8', k)},
+        spread as (select image_id, unnest(range(64)) as i, unnest(px) as v from folded)
+        select image_id, cast(i // 8 as int) as y, cast(i % 8 as int) as x, v from spread"""
 
 
 @query("w5_redact", _redact_sql(5))

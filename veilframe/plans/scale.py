@@ -195,32 +195,49 @@ def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
     )
 
 
-def positioned(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
-    """Add the 0-based position of each row in a global order, without one global task.
+def _ranged(df: DataFrame, order: Sequence[Column | str], weight: Column) -> tuple[DataFrame, int]:
+    """Rows sorted over range partitions, with `_part`, `_mid` and `_start`; and the total weight.
 
-    Rows are range-partitioned and sorted, then written once, so that partition
-    numbers are settled; the position is the size of the partitions before
-    plus the place within the partition. `order` should be total, so that ties split.
+    The rows are written once, so that partition numbers are settled. `_mid` ascends within
+    a partition, and `_start` is the weight of the partitions before.
     """
     placed = written(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("_mid", 33)
+    ).withColumn("_part", F.shiftright("_mid", 33))
     # one row per partition, so this list is bounded by the number of tasks
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    sizes = placed.groupBy("_part").agg(F.sum(weight).alias("_n")).collect()
     starts, total = [], 0
     for row in sorted(sizes, key=lambda r: r["_part"]):
         starts.append((row["_part"], total))
         total += row["_n"]
     offsets = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_mid", "_part", "_start")
-    )
+    return placed.join(F.broadcast(offsets), "_part"), total
+
+
+def positioned(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Add the 0-based position of each row in a global order, without one global task.
+
+    The position is the size of the range partitions before plus the place within the
+    partition. `order` should be total, so that ties split.
+    """
+    placed, _ = _ranged(df, order, F.lit(1).cast("bigint"))
+    place = F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select(*df.columns, place.alias(name))
+
+
+def packed_parts(
+    df: DataFrame, order: Sequence[Column | str], weight: Column, size: int, name: str
+) -> tuple[DataFrame, int]:
+    """Add the number of the part that a row belongs to, and return the total weight.
+
+    A part is what starts within the next `size` of weight, in a global order.
+    """
+    placed, total = _ranged(df, order, weight)
+    before = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_start") + F.coalesce(F.sum(weight).over(before), F.lit(0))
+    return placed.withColumn(name, F.floor(at / F.lit(size)).cast("int")).select(*df.columns, name), total
 
 
 def numbered(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.sources.fetch import fetched
+
 
 def _reader(spark: SparkSession, pattern: str | None):
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -17,12 +20,17 @@ STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 """Scheme and authority in front of a path."""
 
 
+def below(root: str) -> str:
+    """What the paths of all objects below `root` start with, behind scheme and authority."""
+    return re.sub(STORE, "", root).rstrip("/") + "/"
+
+
 def with_relative_path(df: DataFrame, root: str, name: str = "file_name") -> DataFrame:
     """Add the path below `root`, an absolute path or a store URI; null for paths elsewhere."""
-    folder = re.sub(STORE, "", root).rstrip("/") + "/"
+    folder = below(root)
     path: Column = F.regexp_replace("path", STORE, "")
-    below = F.substring(path, F.lit(len(folder) + 1), F.length(path))
-    return df.withColumn(name, F.when(F.startswith(path, F.lit(folder)), below))
+    tail = F.substring(path, F.lit(len(folder) + 1), F.length(path))
+    return df.withColumn(name, F.when(F.startswith(path, F.lit(folder)), tail))
 
 
 def scan_objects(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -37,21 +45,19 @@ def load_content(
     spark: SparkSession, candidates: DataFrame, root: str, pattern: str | None = None,
     fetch: bool = True,
 ) -> DataFrame:
-    """Add `content` to the candidates, from one scan of `root`.
+    """Add `content` to the candidates below `root` whose base name fits `pattern`, if there is one.
 
-    Objects older than all candidates are not opened. Candidates that are gone have null
-    content. With `fetch` off all have.
+    No other object is opened. Candidates that are gone, lie elsewhere or do not fit have
+    null content. With `fetch` off all have.
     """
+    nothing = F.lit(None).cast("binary")
     if not fetch:
-        return candidates.withColumn("content", F.lit(None).cast("binary"))
-    found = _reader(spark, pattern).option("ignoreMissingFiles", "true").load(root)
-    if "last_modified" in candidates.columns:
-        oldest = candidates.agg(F.min("last_modified")).first()[0]
-        if oldest is not None:
-            found = found.where(F.col("modificationTime") >= F.lit(oldest))
-    wanted = candidates.select("path").distinct()
-    bytes_of = found.select("path", "content").join(wanted, "path", "left_semi")
-    return candidates.join(bytes_of, "path", "left")
+        return candidates.withColumn("content", nothing)
+    wanted = F.startswith(F.regexp_replace("path", STORE, ""), F.lit(below(root)))
+    if pattern:
+        wanted &= F.element_at(F.split("path", "/"), -1).rlike(fnmatch.translate(pattern))
+    wanted = F.coalesce(wanted, F.lit(False))
+    return fetched(candidates.where(wanted)).unionByName(candidates.where(~wanted).withColumn("content", nothing))
 
 
 def scan_frames(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> DataFrame:

@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from veilframe.model import OBJECT_SCHEMA
+from veilframe.model import LOG_SCHEMA, OBJECT_SCHEMA
+from veilframe.plans.scale import scratch
+from veilframe.sources.batches import BUCKETS, commit_batch, read_log
 from veilframe.sources.logs import read_log_path
 
 
 def stream_table(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet"
+    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files: int | None = None
 ) -> DataFrame:
-    """A folder of parquet files as a stream."""
+    """A folder of parquet files as a stream, with so many of them per batch (None: all)."""
     reader = spark.readStream.format("parquet").schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", str(files))
     return reader.option("pathGlobFilter", pattern).load(folder)
 
 
@@ -41,6 +45,39 @@ def first_seen(stream: DataFrame, key: str, ts: str, delay: str = "24 hours") ->
     return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that a checkpoint belongs to; it outlives restarts."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def committed_batches(
+    stream: DataFrame,
+    work: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+    root: str,
+    checkpoint: str,
+    key: str,
+    object_key: str,
+    log_schema: T.StructType = LOG_SCHEMA,
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Run `work(batch, log)` per batch and commit its objects and log rows together.
+
+    Copies of a `key` within a batch count once. `log` has the rows of all earlier commits.
+    A batch that is run again after a failure is committed once, whatever the failure was.
+    The tables that the work writes on the way are deleted after each batch.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        log = read_log(spark, root, log_schema)
+        with scratch():
+            objects, rows = work(batch.dropDuplicates([key]), log)
+            commit_batch(root, query_id(spark, checkpoint), batch_id, objects, rows, object_key, buckets)
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def logged_batches(
     stream: DataFrame,
     work: Callable[[DataFrame, DataFrame], DataFrame],
@@ -58,8 +95,7 @@ def logged_batches(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        query_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        own = f"{query_id}-{batch_id}"
+        own = f"{query_id(spark, checkpoint)}-{batch_id}"
         log = read_log_path(spark, log_path)
         if "batch_id" in log.columns:
             log = log.where(F.col("batch_id").cast("string") != F.lit(own))
