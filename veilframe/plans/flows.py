@@ -29,6 +29,7 @@ from veilframe.operators.selection import (
 from veilframe.operators.raster import clip_boxes, image_sizes
 from veilframe.operators.waves import redact
 from veilframe.plans.scale import restricted, written
+from veilframe.sources.sinks import add_once, published
 
 
 @dataclass(frozen=True)
@@ -160,3 +161,18 @@ def video_run(
         "redacted": redact(lines, boxes, options.kernel),
         "manifest": manifest(wanted, videos, output_root, options.fps),
     }
+
+
+def publish_videos(manifest_rows: DataFrame, path: str) -> int:
+    """Publish the manifests of videos that are not published yet, each as a whole; how many.
+
+    A video is known by its output path. One that is there already stays as it is.
+    """
+    spark = manifest_rows.sparkSession
+    known = published(spark, path)
+    fresh = manifest_rows if known is None else manifest_rows.join(known, "output_path", "left_anti")
+    fresh = written(fresh)
+    count = fresh.select("output_path").distinct().count()
+    if count:
+        add_once(fresh, path, "output_path")
+    return count

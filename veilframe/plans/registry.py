@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -14,16 +15,16 @@ from pyspark.sql import functions as F
 from veilframe.functions import geometry as G
 from veilframe.functions import labels as L
 from veilframe.functions import paths as P
-from veilframe.model import Options
+from veilframe.model import LOG_SCHEMA, Options
 from veilframe.operators import detections as D
 from veilframe.operators import frames as V
 from veilframe.operators import overlap, raster, runlog, waves
 from veilframe.operators import selection as S
 from veilframe.operators.scoring import score
 from veilframe.plans import fixtures as X
-from veilframe.plans.flows import choose_work, image_log, image_run
-from veilframe.plans.scale import work_dir
-from veilframe.sources import logs, objects, sinks, tables
+from veilframe.plans.flows import choose_work, image_log, image_run, publish_videos, video_run
+from veilframe.plans.scale import tidy, work_dir
+from veilframe.sources import batches, logs, objects, sinks, tables
 from veilframe.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +40,7 @@ OPTIONS = Options(
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
-        QUERIES[name] = run
+        QUERIES[name] = tidy(run)
         if sql is not None:
             ORACLES[name] = X.with_views(sql)
         return run
@@ -57,27 +58,42 @@ def as_of(spark: SparkSession, d: str) -> Column:
 
 
 def _export_pages(spark: SparkSession, d: str) -> str:
-    """The pages as text objects of 50 rows each, in the shared folder."""
+    """The pages as text objects, one in each of up to 100 folders, in the shared folder."""
     root = work_dir(spark, "pages")
-    html = X.table(spark, d, "pages").select("html")
-    html.write.option("maxRecordsPerFile", 50).text(root)
+    pages = X.table(spark, d, "pages").select("page_id", "html", (F.col("page_id") % 100).alias("part"))
+    dealt = pages.repartition("part").sortWithinPartitions("part", "page_id")
+    dealt.select("html", "part").write.partitionBy("part").text(root)
     return root
 
 
-PAGE_BYTES = "select cast(sum(strlen(html) + 1) as bigint) as bytes from pages"
+OBJECT_SQL = """select concat('part=', cast(page_id % 100 as varchar)) as folder, page_id,
+    string_agg(html || chr(10), '' order by page_id) over (partition by page_id % 100) as body from pages"""
 
 
-@query("s1_objects", PAGE_BYTES)
+@query(
+    "s1_objects",
+    f"select distinct folder, strlen(body) as length, true as named from ({OBJECT_SQL})",
+)
 def s1_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Each object with its length, and whether its name, path and time fit together."""
     listing = objects.scan_objects(spark, _export_pages(spark, d))
-    return listing.agg(F.sum("length").cast("bigint").alias("bytes"))
+    named = F.endswith("path", F.concat(F.lit("/"), F.col("file_name"))) & F.col("last_modified").isNotNull()
+    return listing.select(F.split("file_name", "/")[0].alias("folder"), "length", named.alias("named"))
 
 
-@query("s2_content", PAGE_BYTES)
+@query(
+    "s2_content",
+    f"""select folder, max(case when page_id % 2 = 0 then md5(body) end) as md5 from ({OBJECT_SQL}) group by folder""",
+)
 def s2_content(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of every second object; the others are no candidates."""
     root = _export_pages(spark, d)
-    loaded = objects.load_content(spark, objects.scan_objects(spark, root), root)
-    return loaded.agg(F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+    listing = objects.scan_objects(spark, root)
+    folder = F.split("file_name", "/")[0]
+    wanted = F.split(folder, "=")[1].cast("int") % 2 == 0
+    loaded = objects.load_content(spark, listing.where(wanted), root)
+    both = loaded.unionByName(listing.where(~wanted), allowMissingColumns=True)
+    return both.select(folder.alias("folder"), F.md5("content").alias("md5"))
 
 
 @query(
@@ -568,34 +584,35 @@ def a8_first_frame_size(spark: SparkSession, d: str) -> DataFrame:
     return V.first_frame_size(frames)
 
 
-@query(
-    "a9_nms",
-    """with recursive ranked as (
+def _nms_sql(source: str, conf: float, iou: float) -> str:
+    """CTEs up to `final`: what a plain loop over the boxes of an image and class keeps."""
+    return f"""ranked as (
          select image_id, class_id, det_id, score, x0, y0, x1, y1,
            row_number() over (partition by image_id, class_id order by score desc, det_id) as rk
-         from v_detections where score >= 0.15),
+         from {source} where score >= {conf}),
        steps as (
          select image_id, class_id, rk,
-           [{'d': det_id, 's': score, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] as kept
+           [{{'d': det_id, 's': score, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] as kept
          from ranked where rk = 1
          union all
          select r.image_id, r.class_id, r.rk,
            case when len(list_filter(s.kept, lambda k:
              greatest(least(k.x1, r.x1) - greatest(k.x0, r.x0), 0)
              * greatest(least(k.y1, r.y1) - greatest(k.y0, r.y0), 0)
-             > 0.4::double * ((k.x1 - k.x0) * (k.y1 - k.y0) + (r.x1 - r.x0) * (r.y1 - r.y0)
+             > {iou}::double * ((k.x1 - k.x0) * (k.y1 - k.y0) + (r.x1 - r.x0) * (r.y1 - r.y0)
                - greatest(least(k.x1, r.x1) - greatest(k.x0, r.x0), 0)
                * greatest(least(k.y1, r.y1) - greatest(k.y0, r.y0), 0)))) > 0 then s.kept
-           else list_append(s.kept, {'d': r.det_id, 's': r.score, 'x0': r.x0, 'y0': r.y0,
-             'x1': r.x1, 'y1': r.y1}) end
+           else list_append(s.kept, {{'d': r.det_id, 's': r.score, 'x0': r.x0, 'y0': r.y0,
+             'x1': r.x1, 'y1': r.y1}}) end
          from steps s join ranked r
          on r.image_id = s.image_id and r.class_id = s.class_id and r.rk = s.rk + 1),
        final as (
-         select image_id, class_id, unnest(arg_max(kept, rk)) as k
-         from steps group by image_id, class_id)
-       select image_id, class_id, k.d as det_id, k.s as score, k.x0 as x0, k.y0 as y0, k.x1 as x1,
-         k.y1 as y1 from final""",
-)
+         select image_id, class_id, k.d as det_id, k.s as score, k.x0 as x0, k.y0 as y0, k.x1 as x1, k.y1 as y1
+         from (select image_id, class_id, unnest(arg_max(kept, rk)) as k
+               from steps group by image_id, class_id))"""
+
+
+@query("a9_nms", f"with recursive {_nms_sql('v_detections', 0.15, 0.4)} select * from final")
 def a9_nms(spark: SparkSession, d: str) -> DataFrame:
     return overlap.nms(X.v_detections(spark, d), 0.15, 0.4)
 
@@ -722,30 +739,82 @@ def w5_redact(spark: SparkSession, d: str) -> DataFrame:
     return raster.pixels(done).select("image_id", "y", "x", "v")
 
 
+RUN_SQL = f"""with recursive chosen as (
+          select image_id, file_name, altitude < 200 as low from ({CANDIDATE_SQL})
+          where length >= 1024 and altitude is not null),
+        found as (
+          select b.image_id, b.det_id, d.class_id, d.score, b.x0, b.y0, b.x1, b.y1 from v_boxes8 b
+          join (select image_id, det_id, class_id, score from v_detections) d using (image_id, det_id)
+          where b.image_id in (select image_id from chosen where low)),
+        {_nms_sql('found', 0.15, 0.9)},
+        hidden as (
+          select f.* from final f join v_classes using (class_id) where class_name in ('ASIA', 'EUROPE')),
+        {_fold_sql('hidden', 5, SHOT_LISTS + ' where o_orderkey in (select image_id from chosen where low)')},
+        spread as (select image_id, unnest(range(64)) as i, unnest(px) as v from folded),
+        counts as (
+          select c.image_id, c.file_name, cast(count(h.det_id) as int) as blurred_objects
+          from chosen c left join hidden h using (image_id) group by all)"""
+
+
+def _stored_boxes8(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
+    """A detector that has seen everything before."""
+
+    def detect(lines: DataFrame) -> DataFrame:
+        return _scored_boxes8(spark, d).join(lines.select("image_id").distinct(), "image_id", "left_semi")
+
+    return detect
+
+
 @query(
     "e1_image_run",
-    f"""select file_name, blurred_objects > 0 as blurred, blurred_objects, pixels from (
-          select c.file_name, cast(count(b.det_id) as int) as blurred_objects,
-            cast(max(case when c.altitude < 200 then 64 end) as bigint) as pixels
-          from ({CANDIDATE_SQL}) c left join (
-            select image_id, det_id from v_detections join v_classes using (class_id)
-            where class_name in ('ASIA', 'EUROPE') and score >= 0.15) b
-          on c.image_id = b.image_id and c.altitude < 200
-          where c.length >= 1024 and c.altitude is not null group by c.file_name)""",
+    RUN_SQL + """ select file_name, blurred_objects > 0 as blurred, blurred_objects,
+          cast(i // 8 as int) as y, cast(i % 8 as int) as x, v
+        from counts left join spread using (image_id)""",
 )
 def e1_image_run(spark: SparkSession, d: str) -> DataFrame:
-    """A whole run: what it logs for each image, and the pixels it writes of those below the gate."""
+    """A whole run: what it logs for each image, and every pixel of those below the gate."""
+    out = image_run(
+        X.v_objects(spark, d), X.v_log(spark, d), X.v_shot_scan(spark, d), _stored_boxes8(spark, d),
+        X.v_classes(spark, d), as_of(spark, d), OPTIONS,
+    )
+    values = raster.pixels(out["redacted"]).join(out["images"], "image_id").select("file_name", "y", "x", "v")
+    return out["log"].drop("datetime").join(values, "file_name", "left")
 
-    def detect(lines: DataFrame) -> DataFrame:
-        return _scored_boxes8(spark, d).join(lines.select("image_id").distinct(), "image_id", "left_semi")
 
-    out = image_run(
-        X.v_objects(spark, d), X.v_log(spark, d), X.v_shot_scan(spark, d), detect,
-        X.v_classes(spark, d), as_of(spark, d), OPTIONS, suppress=False,
+VIDEO_FRAMES = 20
+
+
+@query(
+    "e2_video_run",
+    f"""with recursive wanted as (
+          select video_id, frame_name, event_id as image_id, cast(split_part(frame_name, '.', 1) as int) as place
+          from v_frames where cast(split_part(frame_name, '.', 1) as int) < {VIDEO_FRAMES}),
+        hidden as (
+          select b.* from v_boxes8 b
+          join (select image_id, det_id, class_id, score from v_detections) using (image_id, det_id)
+          join v_classes using (class_id) where class_name in ('ASIA', 'EUROPE') and score >= 0.15
+            and image_id in (select image_id from wanted)),
+        {_fold_sql('hidden', 5, SHOT_LISTS + ' where o_orderkey in (select image_id from wanted)')},
+        spread as (select image_id, unnest(range(64)) as i, unnest(px) as v from folded)
+        select concat('output/video/cam_', cast(video_id % 7 as varchar), '/', cast(video_id as varchar), '.mp4') as output_path,
+          place, frame_name, place / 24.0::double as seconds, cast(i // 8 as int) as y, cast(i % 8 as int) as x, v
+        from wanted join spread using (image_id)""",
+)
+def e2_video_run(spark: SparkSession, d: str) -> DataFrame:
+    """The first frames of each video: every pixel as redacted, in the order of a manifest that is published once."""
+    frames = X.v_frames(spark, d).select("video_id", "frame_name", F.col("event_id").alias("image_id"))
+    frames = frames.withColumns({"width": F.lit(8), "height": F.lit(8)})
+    options = replace(OPTIONS, n_frames=VIDEO_FRAMES)
+    out = video_run(
+        frames, _videos(frames), X.v_shot_scan(spark, d), _stored_boxes8(spark, d), X.v_classes(spark, d),
+        "output/video", options,
     )
-    pixels = out["redacted"].groupBy("image_id").agg(F.sum(F.size("vals")).cast("bigint").alias("pixels"))
-    named = pixels.join(out["images"], "image_id").select("file_name", "pixels")
-    return out["log"].join(named, "file_name", "left").drop("datetime")
+    path = work_dir(spark, "videos")
+    for _ in range(2):
+        publish_videos(out["manifest"], path)
+    shown = spark.read.parquet(path).select("video_id", "output_path", "place", "frame_name", "seconds")
+    named = shown.join(frames.select("video_id", "frame_name", "image_id"), ["video_id", "frame_name"])
+    return named.join(raster.pixels(out["redacted"]), "image_id").drop("image_id", "video_id", "c")
 
 
 # --- order and set operations ------------------------------------------------------
@@ -1016,6 +1085,14 @@ def f22_frame_time(spark: SparkSession, d: str) -> DataFrame:
     return X.v_frames(spark, d).select("video_id", "frame_name", seconds)
 
 
+def _videos(frames: DataFrame) -> DataFrame:
+    path = F.concat(
+        F.lit("cam_"), (F.col("video_id") % 7).cast("string"), F.lit("/"),
+        F.col("video_id").cast("string"), F.lit(".mp4"),
+    )
+    return frames.select("video_id").distinct().withColumn("video_path", path)
+
+
 @query(
     "f23_manifest",
     f"""with sized as {SIZED_SQL},
@@ -1031,12 +1108,7 @@ def f22_frame_time(spark: SparkSession, d: str) -> DataFrame:
 )
 def f23_manifest(spark: SparkSession, d: str) -> DataFrame:
     frames = _sized_frames(spark, d)
-    path = F.concat(
-        F.lit("cam_"), (F.col("video_id") % 7).cast("string"), F.lit("/"),
-        F.col("video_id").cast("string"), F.lit(".mp4"),
-    )
-    videos = frames.select("video_id").distinct().withColumn("video_path", path)
-    return V.manifest(frames, videos, "output/video")
+    return V.manifest(frames, _videos(frames), "output/video")
 
 
 # --- scoring and streams -----------------------------------------------------------
@@ -1121,3 +1193,35 @@ def t3_logged_batches(spark: SparkSession, d: str) -> DataFrame:
     run = stream.logged_batches(orders, work, f"{root}/log", f"{root}/state", "o_orderkey")
     run.awaitTermination()
     return logs.read_log_path(spark, f"{root}/log").select("file_name", "blurred", "blurred_objects")
+
+
+@query(
+    "t3_redacted_batches",
+    RUN_SQL + """ select c.image_id, file_name, blurred_objects, cast(i // 8 as int) as y, cast(i % 8 as int) as x, v
+        from counts c join spread using (image_id)""",
+)
+def t3_redacted_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The whole image run per batch of a stream of objects, in three batches: redacted lines and log rows are committed together."""
+    root, stamp = work_dir(spark, "batches"), as_of(spark, d)
+    orders = X.table(spark, d, "orders")
+    part = (F.col("o_orderkey") % 3).alias("part")
+    orders.select("*", part).repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    arriving = stream.stream_table(spark, f"{root}/in/part=*", orders.schema, files=1)
+    done, scan = X.v_log(spark, d), X.v_shot_scan(spark, d)
+
+    def work(batch: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+        seen = done.unionByName(log.select("file_name"))
+        out = image_run(
+            X.objects_of(batch), seen, scan, _stored_boxes8(spark, d), X.v_classes(spark, d), stamp, OPTIONS
+        )
+        named = out["redacted"].join(out["images"], "image_id")
+        return named, out["log"]
+
+    stream.committed_batches(
+        arriving, work, f"{root}/store", f"{root}/state", "o_orderkey", "image_id", buckets=16
+    ).awaitTermination()
+    log = batches.read_log(spark, f"{root}/store", LOG_SCHEMA).select("file_name", "blurred_objects")
+    lines = batches.read_objects(spark, f"{root}/store")
+    values = raster.pixels(lines.join(log, "file_name"))
+    names = lines.where("y = 0").select("image_id", "file_name").join(log, "file_name")
+    return values.join(names, "image_id").select("image_id", "file_name", "blurred_objects", "y", "x", "v")

@@ -66,6 +66,12 @@ def add_once(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def published(spark: SparkSession, path: str, key: str = "output_path") -> DataFrame | None:
+    """The keys that `add_once` has written, or None before the first."""
+    old = _existing(spark, path)
+    return None if old is None else old.select(key).distinct()
+
+
 def reload_frames(frames: DataFrame, path: str) -> None:
     """Replace all frames of the videos in `frames`; other videos stay."""
     _overwrite_partitions(frames, path, "video_id")
