@@ -127,7 +127,8 @@ def write_archives(
         ("Content-Length", F.octet_length("part").cast("string")),
     )
     records = segments.select(F.concat(head, text_of(F.col("part"))).alias("value"))
-    records.write.option("lineSep", GAP).option("compression", compression).text(path)
+    writer = records.write.option("lineSep", GAP).option("compression", compression)
+    writer.option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def unchunked(body: bytes) -> tuple[bytes | None, str | None]:
