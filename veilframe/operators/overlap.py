@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.geometry import has_area, intersection, overlaps_above, union
 from veilframe.operators.detections import confident
-from veilframe.plans.scale import FOLD_LIMIT, written, hot_keys
+from veilframe.plans.scale import FOLD_LIMIT, hot_keys, joined, same_keys, tidy, written
 
 GROUP = ["image_id", "class_id"]
 BOX = ["image_id", "class_id", "det_id", "score", "x0", "y0", "x1", "y1"]
@@ -86,7 +88,7 @@ def _packed(df: DataFrame, name: str, extra: list[str]) -> DataFrame:
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
-    return reduce(lambda p, q: p & q, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys])
+    return same_keys(a, b, keys)
 
 
 def iou_pairs(boxes: DataFrame, iou: float, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -108,8 +110,8 @@ def iou_pairs(boxes: DataFrame, iou: float, pair_limit: int = PAIR_LIMIT) -> Dat
         parts = [_pairs_by_group(shapes, iou)]
     else:
         parts = [
-            _pairs_by_group(shapes.join(hot, GROUP, "left_anti"), iou),
-            _pairs_by_cell(shapes.join(hot, GROUP, "left_semi"), iou),
+            _pairs_by_group(joined(shapes, hot, GROUP, "left_anti"), iou),
+            _pairs_by_cell(joined(shapes, hot, GROUP, "left_semi"), iou),
         ]
     same = shapes.where((F.col("copies") > 1) & F.lit(iou < 1)).select(
         *GROUP,
@@ -158,9 +160,8 @@ def nms(
     hot = hot_keys(scored, GROUP, fold_limit)
     if hot is None:
         return _nms_by_fold(scored, iou)
-    return _nms_by_fold(scored.join(hot, GROUP, "left_anti"), iou).unionByName(
-        _nms_by_rounds(scored.join(hot, GROUP, "left_semi"), iou, fold_limit)
-    )
+    few, many = (joined(scored, hot, GROUP, how) for how in ("left_anti", "left_semi"))
+    return _nms_by_fold(few, iou).unionByName(_nms_by_rounds(many, iou, fold_limit))
 
 
 def _nms_by_fold(boxes: DataFrame, iou: float) -> DataFrame:
@@ -178,6 +179,7 @@ def _nms_by_fold(boxes: DataFrame, iou: float) -> DataFrame:
     return kept.select(*GROUP, *[F.col(f"b.{c}").alias(c) for c in fields]).select(*BOX)
 
 
+@tidy
 def _nms_by_rounds(boxes: DataFrame, iou: float, fold_limit: int) -> DataFrame:
     """Groups of any size: the same result in rounds.
 
@@ -224,9 +226,98 @@ def _free_leaders(open_boxes: DataFrame, grid: _Grid) -> DataFrame:
         *GROUP, *CELL, "det_id", F.struct((-F.col("score")).alias("rank"), "det_id").alias("a")
     )
     blocked = (
-        seeking.join(leads, [*GROUP, *CELL])
+        joined(seeking, leads, [*GROUP, *CELL])
         .where(F.struct("b.rank", "b.det_id") < F.col("a"))
         .select(*GROUP, "det_id")
         .distinct()
     )
-    return flat.join(blocked, [*GROUP, "det_id"], "left_anti").select(*BOX)
+    return joined(flat, blocked, [*GROUP, "det_id"], "left_anti").select(*BOX)
+
+
+PARTNER_BLOCK = 2_048
+"""Boxes of a cell that are compared with as many others at once."""
+
+
+def _ratios(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap and union of each box of `a` with each of `b`."""
+    one, two = ({c: df[c].to_numpy(np.float64) for c in BOX[4:]} for df in (a, b))
+    side = lambda low, high: np.maximum(
+        np.minimum(one[high][:, None], two[high]) - np.maximum(one[low][:, None], two[low]), 0.0
+    )
+    both = side("x0", "x1") * side("y0", "y1")
+    area = [(x["x1"] - x["x0"]) * (x["y1"] - x["y0"]) for x in (one, two)]
+    return both, area[0][:, None] + area[1] - both
+
+
+def _partners(a: pd.DataFrame, b: pd.DataFrame, iou: float) -> pd.DataFrame:
+    """Per box of `a`: how many boxes of `b` are partners, and the best of them."""
+    both, union_ = _ratios(a, b)
+    hit = (both > iou * union_) & (a["det_id"].to_numpy()[:, None] != b["det_id"].to_numpy())
+    ratio = np.where(hit, both / np.where(union_ > 0, union_, 1), -1.0)
+    copies = b["copies"].to_numpy()
+    out = a[[*GROUP, "det_id"]].assign(partners=(hit * copies).sum(axis=1), best_iou=ratio.max(axis=1))
+    names = b["det_id"].to_numpy(np.int64)
+    tied = np.where(ratio == ratio.max(axis=1)[:, None], names, np.iinfo(np.int64).max)
+    return out.assign(best=tied.min(axis=1))[lambda rows: rows["partners"] > 0]
+
+
+@tidy
+def partner_counts(boxes: DataFrame, iou: float, block: int = PARTNER_BLOCK) -> DataFrame:
+    """One row per box with area: partners, best_id, best_iou.
+
+    A partner is another box of the same image and class whose overlap ratio exceeds `iou`;
+    the best one has the highest ratio, ties go to the lower det_id. A box without a partner
+    has 0 and nulls. However many partners boxes have, only counts leave a task: boxes of a
+    grid cell are cut into blocks, the blocks of neighbouring cells are compared, and each
+    comparison returns a row per box. Exact copies are merged first.
+    """
+    _check_iou(iou)
+    shape = [*GROUP, *BOX[4:]]
+    solid = boxes.where(has_area())
+    shapes = written(solid.groupBy(*shape).agg(F.min("det_id").alias("det_id"), F.count(F.lit(1)).alias("copies")))
+    grid = _Grid(iou, 1.0 - iou)
+    homes = grid.home(shapes)
+    many = homes.groupBy(*GROUP, *CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    many = written(many)
+    chance = F.xxhash64("det_id")
+    stored = joined(homes, many, [*GROUP, *CELL]).withColumn("_theirs", F.pmod(chance, F.col("_blocks")).cast("int"))
+    probes = joined(grid.probe(shapes), many, [*GROUP, *CELL])
+    # a cell is probed by its neighbours as well, so its probes are cut on their own
+    asked = written(probes)
+    askers = asked.groupBy(*GROUP, *CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_askers"))
+    askers = written(askers)
+    met = [*GROUP, *CELL, "_own", "_theirs"]
+    asked = joined(asked, askers, [*GROUP, *CELL]).withColumn("_own", F.pmod(chance, F.col("_askers")).cast("int"))
+    asked = asked.withColumn("_theirs", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    stored = joined(stored, askers, [*GROUP, *CELL]).withColumn("_own", F.explode(F.sequence(F.lit(0), F.col("_askers") - 1)))
+    keys = {f.name: f.dataType.simpleString() for f in shapes.schema}
+    schema = ", ".join(f"{c} {keys[c]}" for c in [*GROUP, "det_id"]) + ", partners long, best_iou double, best long"
+
+    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in [*GROUP, "det_id", "partners", "best_iou", "best"]})
+        return _partners(a, b, iou)
+
+    found = written(asked).groupBy(*met).cogroup(written(stored).groupBy(*met)).applyInPandas(compare, schema)
+    best = F.max(F.struct("best_iou", (-F.col("best")).alias("_best")))
+    summed = found.groupBy(*GROUP, "det_id").agg(F.sum("partners").alias("_found"), best.alias("_top"))
+    told = joined(shapes, written(summed), [*GROUP, "det_id"], "left")
+    alike = F.lit(iou < 1) & (F.col("copies") > 1)
+    told = told.select(
+        *shape, F.col("det_id").alias("_first"), alike.alias("_alike"), F.col("_top"),
+        (F.coalesce("_found", F.lit(0)) + F.when(alike, F.col("copies") - 1).otherwise(0)).alias("partners"),
+    )
+    own = joined(solid.select(*shape, "det_id"), written(told), shape)
+    return joined(own, _second(solid, shape), shape, "left").select(
+        *GROUP, "det_id", "partners",
+        F.when(F.col("_alike"), F.when(F.col("det_id") == F.col("_first"), F.col("_next")).otherwise(F.col("_first")))
+        .otherwise(-F.col("_top._best")).cast(keys["det_id"]).alias("best_id"),
+        F.when(F.col("_alike"), F.lit(1.0)).otherwise(F.col("_top.best_iou")).alias("best_iou"),
+    )
+
+
+def _second(boxes: DataFrame, shape: list[str]) -> DataFrame:
+    """The second lowest det_id of each shape that occurs more than once."""
+    least = boxes.groupBy(*shape).agg(F.min("det_id").alias("_least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rest = joined(boxes, written(least.drop("n")), shape).where("det_id > _least")
+    return written(rest.groupBy(*shape).agg(F.min("det_id").alias("_next")))

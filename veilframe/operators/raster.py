@@ -8,6 +8,10 @@ join on `(image_id, y)`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,105 +83,148 @@ def pixels_in_boxes(scan: DataFrame, boxes: DataFrame) -> DataFrame:
     ).select("image_id", "det_id", "c", "y", "x", F.get("vals", F.col("x")).alias("v"))
 
 
-def _sliding_sum(df: DataFrame, keys: list[str], along: str, k: int) -> DataFrame:
-    """Replace `v` by the sum of the last `k` values along a line.
+TILE = 64
+"""Side of the tiles that a box is blurred in; a tile also needs the pixels that the kernel reaches."""
+
+
+def mirrored(p: np.ndarray, n: int) -> np.ndarray:
+    """Positions of `p` within 0..n-1, mirrored about the end pixels as often as needed."""
+    m = p % max(2 * (n - 1), 1)
+    return np.where(m < n, m, 2 * (n - 1) - m)
 
-    It is the difference of a running sum and its lag, so the cost per row does not
-    depend on `k`.
-    """
-    line = Window.partitionBy(*keys).orderBy(along)
-    running = F.sum("v").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.lag("_run", k, 0).over(line)
-    return df.withColumn("_run", running).withColumn("v", F.col("_run") - before)
 
+def tile_means(tile: tuple, k: int) -> np.ndarray:
+    """Box means of a tile from its pixels and those around it, by a summed-area table."""
+    anchor, tail = k // 2, k - 1 - k // 2
+    ys = np.searchsorted(tile.rows, mirrored(np.arange(tile.top - anchor, tile.bottom + tail), tile.m))
+    xs = mirrored(np.arange(tile.left - anchor, tile.right + tail), tile.n) - tile.low
+    source = tile.flat.reshape(len(tile.rows), -1)[ys][:, xs]
+    table = np.zeros((len(ys) + 1, len(xs) + 1), np.int64)
+    table[1:, 1:] = source.cumsum(0, dtype=np.int64).cumsum(1)
+    sums = table[k:, k:] - table[:-k, k:] - table[k:, :-k] + table[:-k, :-k]
+    return np.rint(sums / float(k * k)).astype(np.int32)
 
-def blur_segments(scan: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
+
+def blur_segments(scan: DataFrame, boxes: DataFrame, k: int, tile: int = TILE) -> DataFrame:
     """Box mean of side `k` inside each box, as line segments `x0, seg`.
 
     The box is blurred as an image of its own: lines and columns are first extended by
-    mirroring about the end pixels of the box. The columns are summed first and the lines
-    second, so the result is already grouped by line. Boxes must lie inside their image.
+    mirroring about the end pixels of the box. Boxes are cut into tiles, and a tile gets the
+    part of each line that its means need, so a task holds a tile and the reach of the kernel
+    at a time, and pixels are never rows. Boxes must lie inside their image.
     """
-    anchor = k // 2
-    tail = k - 1 - anchor
-    box = ["image_id", "det_id", "x0", "y0", "n", "m"]
+    anchor, tail = k // 2, k - 1 - k // 2
+    corner = ["image_id", "det_id", "x0", "y0", "n", "m"]
+    reached = lambda first, last, n: f"transform(sequence({first} - {anchor}, {last} - 1 + {tail}), p -> {reflect('p', n)})"
+    columns = f"""transform(transform(sequence(0, n - 1, {tile}), l -> struct(l, least(n, l + {tile}) as r)),
+        t -> struct(t.l as left, t.r as right,
+          array_min({reached('t.l', 't.r', 'n')}) as low, array_max({reached('t.l', 't.r', 'n')}) as high))"""
     lines = (
         boxes.where(has_area())
         .selectExpr("image_id", "det_id", "x0", "y0", "x1 - x0 as n", "y1 - y0 as m")
-        .selectExpr(*box, f"explode(sequence(-{anchor}, m + {k - 2 - anchor})) as q")
-        .selectExpr(*box, "q", f"y0 + {reflect('q', 'm')} as y")
+        .selectExpr(*corner, f"{columns} as cols", f"explode(sequence(0, m - 1, {tile})) as top")
+        .selectExpr(*corner, "cols", "top", f"least(m, top + {tile}) as bottom")
+        .selectExpr(*corner, "cols", "top", "bottom", f"explode(array_distinct({reached('top', 'bottom', 'm')})) as row")
+        .selectExpr(*corner, "cols", "top", "bottom", "row", "y0 + row as y")
     )
-    spread = (
+    parts = (
         scan.select("image_id", "c", "y", "vals")
         .join(lines, ["image_id", "y"])
-        .selectExpr(*box, "c", "q", "vals", f"explode(sequence(-{anchor}, n + {k - 2 - anchor})) as p")
-        .selectExpr(*box, "c", "q", "p", f"get(vals, x0 + {reflect('p', 'n')}) as v")
-    )
-    down = (
-        _sliding_sum(spread, ["image_id", "det_id", "c", "p"], "q", k)
-        .where(f"q between {tail} and m - 1 + {tail}")
-        .selectExpr(*box, "c", "p", f"q - {tail} as r", "v")
+        .selectExpr(*corner, "c", "top", "bottom", "row", "vals", "inline(cols)")
+        .selectExpr(*corner, "c", "top", "bottom", "left", "right", "low", "row", "slice(vals, x0 + low + 1, high - low + 1) as part")
     )
-    across = _sliding_sum(down, ["image_id", "det_id", "c", "r"], "p", k).where(
-        f"p between {tail} and n - 1 + {tail}"
-    )
-    mean = f"cast(rint(v / {float(k * k)}D) as int)"
-    return (
-        across.groupBy("image_id", "det_id", "c", "r")
-        .agg(
-            F.expr("any_value(x0) as x0"),
-            F.expr("any_value(y0) as y0"),
-            F.expr(f"transform(sort_array(collect_list(struct(p, {mean} as v))), e -> e.v) as seg"),
-        )
-        .selectExpr("image_id", "c", "y0 + r as y", "x0", "seg")
+    fixed = ["x0", "y0", "n", "m", "bottom", "right", "low"]
+    tiles = (
+        parts.groupBy("image_id", "det_id", "c", "top", "left")
+        .agg(*[F.any_value(x).alias(x) for x in fixed], F.sort_array(F.collect_list(F.struct("row", "part"))).alias("lines"))
+        .selectExpr("image_id", "c", "top", "left", *fixed, "lines.row as rows", "flatten(lines.part) as flat")
     )
 
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [tile_means(t, k) for t in batch.itertuples(index=False)]
+            out = batch[["image_id", "c"]].assign(y=batch["y0"] + batch["top"], x0=batch["x0"] + batch["left"])
+            out["width"] = [d.shape[1] for d in done]
+            out["flat"] = [d.ravel() for d in done]
+            yield out
+
+    kinds = {f.name: f.dataType.simpleString() for f in scan.schema}
+    shape = f"image_id {kinds['image_id']}, c {kinds['c']}, y int, x0 int, width int, flat array<int>"
+    blurred = tiles.mapInPandas(means, shape)
+    count = "cast(size(flat) div width as int)"
+    cut = f"posexplode(transform(sequence(0, {count} - 1), i -> slice(flat, i * width + 1, width)))"
+    return blurred.selectExpr("image_id", "c", "y", "x0", f"{cut} as (i, seg)").selectExpr("image_id", "c", "y + i as y", "x0", "seg")
+
 
 def box_blur(scan: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
     """Blur boxes that do not overlap; the rest of the raster stays as it is."""
     return paint(scan, blur_segments(scan, boxes, k))
 
 
+def _spliced(patches: str, values: str, length: str) -> str:
+    """`vals` with sorted, disjoint patches put in, in one pass.
+
+    `values` and `length` are SQL about a patch `p`; a patch starts at its `x0`.
+    """
+    end = lambda p: f"({p}.x0 + {length.replace('p.', f'{p}.')})"
+    before = f"if(i = 0, 0, {end(f'get({patches}, i - 1)')})"
+    return f"""if({patches} is null, vals, concat(
+        flatten(transform({patches}, (p, i) -> concat(slice(vals, {before} + 1, p.x0 - {before}), {values}))),
+        slice(vals, {end(f'element_at({patches}, -1)')} + 1, size(vals))))"""
+
+
 def paint(scan: DataFrame, segments: DataFrame) -> DataFrame:
     """Replace line segments (`x0, seg`) of scanlines; segments of a line are disjoint."""
     patches = segments.groupBy("image_id", "c", "y").agg(
-        F.collect_list(F.struct("x0", "seg")).alias("_patches")
-    )
-
-    painted = F.expr(
-        """aggregate(coalesce(_patches, array()), vals, (line, s) -> concat(
-             slice(line, 1, s.x0), s.seg,
-             slice(line, s.x0 + size(s.seg) + 1, greatest(size(line) - s.x0 - size(s.seg), 0))))"""
+        F.sort_array(F.collect_list(F.struct("x0", "seg"))).alias("_patches")
     )
     kept = [c for c in scan.columns if c != "vals"]
-    return scan.join(patches, ["image_id", "c", "y"], "left").select(*kept, painted.alias("vals"))
+    painted = F.expr(_spliced("_patches", "p.seg", "size(p.seg)")).alias("vals")
+    return scan.join(patches, ["image_id", "c", "y"], "left").select(*kept, painted)
 
 
-def draw_outlines(
-    scan: DataFrame, boxes: DataFrame, colour: tuple[int, ...] = (0, 255, 0), thickness: int = 2
-) -> DataFrame:
-    """Draw box outlines: the band of `thickness` pixels inside the edge of each box.
+def run_union(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Maximal disjoint runs (`x0, n`) that cover the same places as the given ones, per line.
 
-    Outlines have one colour, so their order is free and equal runs of a line are merged
-    map-side: what reaches a line is bounded by its width, however many boxes cross it.
+    Runs become steps up and down, and steps at one place are summed, map-side first: a line
+    gets at most one row per place and task, however many runs it has.
     """
+    steps = runs.where("n > 0").selectExpr(*keys, "inline(array(struct(x0 as x, 1L as d), struct(x0 + n as x, -1L as d)))")
+    turns = steps.groupBy(*keys, "x").agg(F.sum("d").alias("d")).where("d <> 0")
+    along = Window.partitionBy(*keys).orderBy("x")
+    depth = F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    ends = turns.withColumn("_depth", depth).withColumn("_before", F.col("_depth") - F.col("d"))
+    ends = ends.where("_depth = 0 or _before = 0").withColumn("_next", F.lead("x").over(along))
+    return ends.where("_before = 0").select(*keys, F.col("x").alias("x0"), (F.col("_next") - F.col("x")).alias("n"))
+
+
+def outline_runs(boxes: DataFrame, thickness: int = 2) -> DataFrame:
+    """Disjoint runs (image_id, y, x0, n) of the outlines of boxes: at most half a width per line."""
     edge = f"y < y0 + {thickness} or y >= y1 - {thickness} or x1 - x0 <= {2 * thickness}"
     ends = f"array(struct(x0, {thickness} as n), struct(x1 - {thickness} as x0, {thickness} as n))"
     runs = (
         boxes.where(has_area())
         .selectExpr("image_id", "x0", "y0", "x1", "y1", "explode(sequence(y0, y1 - 1)) as y")
-        .selectExpr("image_id", "y", f"explode(if({edge}, array(struct(x0, x1 - x0 as n)), {ends})) as run")
-        .groupBy("image_id", "y")
-        .agg(F.collect_set("run").alias("_runs"))
+        .selectExpr("image_id", "y", f"inline(if({edge}, array(struct(x0, x1 - x0 as n)), {ends}))")
     )
-    shade = f"get(array({', '.join(str(v) for v in colour)}), c)"
-    painted = F.expr(
-        f"""aggregate(coalesce(_runs, array()), vals, (line, s) -> concat(
-             slice(line, 1, s.x0), array_repeat({shade}, s.n),
-             slice(line, s.x0 + s.n + 1, greatest(size(line) - s.x0 - s.n, 0))))"""
+    return run_union(runs, ["image_id", "y"])
+
+
+def draw_outlines(
+    scan: DataFrame, boxes: DataFrame, colour: tuple[int, ...] = (0, 255, 0), thickness: int = 2
+) -> DataFrame:
+    """Draw box outlines: the band of `thickness` pixels inside the edge of each box.
+
+    Outlines have one colour, so their order is free: the runs of a line are united first
+    and painted in one pass.
+    """
+    runs = outline_runs(boxes, thickness).groupBy("image_id", "y").agg(
+        F.sort_array(F.collect_list(F.struct("x0", "n"))).alias("_runs")
     )
+    shade = f"get(array({', '.join(str(v) for v in colour)}), c)"
+    painted = F.expr(_spliced("_runs", f"array_repeat({shade}, p.n)", "p.n")).alias("vals")
     kept = [c for c in scan.columns if c != "vals"]
-    return scan.join(runs, ["image_id", "y"], "left").select(*kept, painted.alias("vals"))
+    return scan.join(runs, ["image_id", "y"], "left").select(*kept, painted)
 
 
 def swap_channels(scan: DataFrame) -> DataFrame:

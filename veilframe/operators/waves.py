@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,17 @@ from veilframe.operators.raster import (
     draw_outlines,
     image_sizes,
 )
-from veilframe.plans.scale import FOLD_LIMIT, written, hot_keys
+from veilframe.plans.scale import (
+    FOLD_LIMIT,
+    SMALL_IDS,
+    hot_keys,
+    joined,
+    numbered,
+    restricted,
+    small,
+    tidy,
+    written,
+)
 
 SHAPE = ["det_id", "x0", "y0", "x1", "y1"]
 
@@ -31,67 +43,133 @@ def blur_waves(boxes: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     hot = hot_keys(solid, ["image_id"], fold_limit)
     if hot is None:
         return _waves_by_fold(solid)
-    return _waves_by_fold(solid.join(hot, "image_id", "left_anti")).unionByName(
-        _waves_by_peeling(solid.join(hot, "image_id", "left_semi"))
-    )
+    few, many = (joined(solid, hot, ["image_id"], how) for how in ("left_anti", "left_semi"))
+    return _waves_by_fold(few).unionByName(_waves_by_strips(many, fold_limit))
 
 
 def _waves_by_fold(boxes: DataFrame) -> DataFrame:
-    """Images with a bounded number of boxes: one pass over the ordered array."""
-    rest = [c for c in boxes.columns if c not in ("image_id", "det_id")]
-    box = F.struct("det_id", *rest, F.lit(0).alias("wave"))
+    """Images with a bounded number of boxes: one pass over the ordered array.
+
+    A column `_least` has the wave that a box has at least, if earlier boxes are not here.
+    """
+    columns = [c for c in boxes.columns if c != "_least"]
+    if "_least" not in boxes.columns:
+        boxes = boxes.withColumn("_least", F.lit(0))
+    rest = [c for c in columns if c not in ("image_id", "det_id")]
+    box = F.struct("det_id", *rest, F.col("_least").alias("wave"))
     images = boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
 
     def step(done: Column, box: Column) -> Column:
         before = F.transform(F.filter(done, lambda d: touches(d, box)), lambda d: d["wave"])
-        wave = F.coalesce(F.array_max(before) + F.lit(1), F.lit(0))
+        wave = F.greatest(F.coalesce(F.array_max(before) + F.lit(1), F.lit(0)), box["wave"])
         return F.array_append(done, box.withField("wave", wave))
 
     none = F.filter("boxes", lambda _: F.lit(False))
     waves = images.select("image_id", F.explode(F.aggregate("boxes", none, step)).alias("b"))
-    return waves.select(*[f"b.{c}" if c != "image_id" else c for c in boxes.columns], "b.wave")
+    return waves.select(*[f"b.{c}" if c != "image_id" else c for c in columns], "b.wave")
 
 
-def _waves_by_peeling(boxes: DataFrame) -> DataFrame:
-    """Images with any number of boxes, one wave per round.
+SURFACE = ["edges", "waves"]
+"""Of a strip: where its stretches start, the last one ending, and the highest wave in each."""
 
-    A box is free when it is the first remaining box on every one of its pixels. The first
-    box per pixel is a minimum, which combines map-side, so stacked boxes never meet as
-    pairs.
+
+def _in_strips(boxes: DataFrame) -> DataFrame:
+    """Add `strips`, the numbers (from, to) of the strips of its image that a box covers.
+
+    The upper and lower edges of all boxes of an image cut it into strips, so a box covers
+    a strip wholly or not at all, however many lines that is.
+    """
+    edges = boxes.selectExpr("image_id", "explode(array(y0, y1)) as y").distinct()
+    ranked = written(numbered(edges, ["image_id"], ["y"], "_strip"))
+    first = ranked.select("image_id", F.col("y").alias("y0"), F.col("_strip").alias("_first"))
+    after = ranked.select("image_id", F.col("y").alias("y1"), F.col("_strip").alias("_after"))
+    return joined(joined(boxes, first, ["image_id", "y0"]), after, ["image_id", "y1"])
+
+
+def _highest(key: tuple, boxes: pd.DataFrame, surface: pd.DataFrame) -> pd.DataFrame:
+    """For each box of a strip, one more than the highest wave below it."""
+    if not len(surface):
+        return boxes.assign(least=0)[["image_id", "det_id", "least"]]
+    edges, waves = (np.asarray(surface[c].iat[0]) for c in SURFACE)
+    first = np.searchsorted(edges, boxes["x0"].to_numpy(), "right") - 1
+    after = np.searchsorted(edges, boxes["x1"].to_numpy(), "left")
+    least = [waves[max(a, 0) : b].max(initial=-1) + 1 for a, b in zip(first, after, strict=True)]
+    return boxes.assign(least=least)[["image_id", "det_id", "least"]]
+
+
+def _raised(key: tuple, boxes: pd.DataFrame, surface: pd.DataFrame) -> pd.DataFrame:
+    """The surface of a strip after more boxes: the highest wave at each place."""
+    if not len(boxes):
+        return surface
+    x0, x1, wave = (boxes[c].to_numpy() for c in ("x0", "x1", "wave"))
+    edges, waves = (np.asarray(surface[c].iat[0]) for c in SURFACE) if len(surface) else (np.empty(0, int), np.empty(0, int))
+    places = np.unique(np.concatenate([edges, x0, x1]))
+    out = np.full(len(places) - 1, -1)
+    if len(edges):
+        at = np.searchsorted(edges, places[:-1], "right") - 1
+        known = (at >= 0) & (at < len(waves))
+        out[known] = waves[at[known]]
+    for a, b, w in zip(np.searchsorted(places, x0), np.searchsorted(places, x1), wave, strict=True):
+        np.maximum(out[a:b], w, out=out[a:b])
+    keep = np.concatenate([[True], out[1:] != out[:-1]])  # equal neighbours are one stretch
+    row = {"image_id": boxes["image_id"].iat[0], "strip": boxes["strip"].iat[0]}
+    return pd.DataFrame([{**row, "edges": np.append(places[:-1][keep], places[-1]), "waves": out[keep]}])
+
+
+@tidy
+def _waves_by_strips(boxes: DataFrame, block: int) -> DataFrame:
+    """Images with any number of boxes: `block` of each image at a time, in order.
+
+    A round finds for each of its boxes the highest wave of earlier boxes below it, from the
+    surface of the strips that it covers, settles the round by a fold, and raises the
+    surface. Nothing is as large as the area of the boxes: a strip has a bounded number of
+    boxes in a round, and as many stretches as there are edges across it.
     """
-    left = written(boxes)
-    out, wave = [], 0
-    while not left.isEmpty():
-        spots = left.selectExpr(
-            "image_id", "det_id", "x0", "x1", "explode(sequence(y0, y1 - 1)) as y"
-        ).selectExpr("image_id", "det_id", "y", "explode(sequence(x0, x1 - 1)) as x")
-        first = spots.groupBy("image_id", "y", "x").agg(F.min("det_id").alias("det_id"))
-        owned = first.groupBy("image_id", "det_id").agg(F.count(F.lit(1)).alias("owned"))
-        free = F.expr("coalesce(owned = bigint(x1 - x0) * (y1 - y0), false)")
-        marked = written(
-            left.join(owned, ["image_id", "det_id"], "left").select(*boxes.columns, free.alias("_free"))
-        )
-        out.append(marked.where("_free").drop("_free").withColumn("wave", F.lit(wave)))
-        left = marked.where("not _free").drop("_free")
-        wave += 1
+    placed = _in_strips(numbered(boxes, ["image_id"], ["det_id"], "_n"))
+    placed = written(placed.withColumn("_round", F.floor(F.col("_n") / block).cast("int")))
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    ids = f"image_id {kinds['image_id']}"
+    surface = boxes.sparkSession.createDataFrame([], f"{ids}, strip int, edges array<long>, waves array<long>")
+    strips = "explode(sequence(_first, _after - 1)) as strip"
+    out, rounds = [], (placed.agg(F.max("_round")).first()[0] or 0) + 1
+    for number in range(rounds):
+        now = placed.where(F.col("_round") == number)
+        if number:
+            spread = now.selectExpr("image_id", "det_id", "x0", "x1", strips).groupBy("image_id", "strip")
+            found = spread.cogroup(surface.groupBy("image_id", "strip"))
+            found = found.applyInPandas(_highest, f"{ids}, det_id {kinds['det_id']}, least int")
+            least = found.groupBy("image_id", "det_id").agg(F.max("least").alias("_least"))
+            now = joined(now, least, ["image_id", "det_id"])
+        settled = written(_waves_by_fold(now.select(*boxes.columns, *(["_least"] if number else []))))
+        out.append(settled)
+        if number + 1 < rounds:
+            ended = joined(settled, placed.select("image_id", "det_id", "_first", "_after"), ["image_id", "det_id"])
+            spread = ended.selectExpr("image_id", "x0", "x1", "wave", strips).groupBy("image_id", "strip")
+            surface = written(spread.cogroup(surface.groupBy("image_id", "strip")).applyInPandas(_raised, surface.schema))
     return reduce(DataFrame.unionByName, out)
 
 
-def redact(scan: DataFrame, boxes: DataFrame, k: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+@tidy
+def redact(
+    scan: DataFrame, boxes: DataFrame, k: int, fold_limit: int = FOLD_LIMIT, clipped: bool = False
+) -> DataFrame:
     """Apply all boxes to their images, in order.
 
     Optional boolean columns choose per box: `draw` adds an outline before the blur, and
     `blur` says whether to blur at all (by default every box is blurred, none is drawn).
+    `clipped` says that no box reaches beyond its image, so that sizes need not be read.
 
-    Lines that no box covers pass straight through. The others go from wave to wave only
-    as long as a later box covers them.
+    Images without a box pass straight through and are not moved. The lines of the others
+    are written once, with the last wave that covers them: lines that no box covers are
+    done, the others go from wave to wave only as long as a later box covers them.
     """
     if "draw" not in boxes.columns:
         boxes = boxes.withColumn("draw", F.lit(False))
     if "blur" not in boxes.columns:
         boxes = boxes.withColumn("blur", F.lit(True))
     boxes = boxes.select("image_id", *SHAPE, "draw", "blur").where("draw or blur")
-    boxes = written(clip_boxes(boxes, image_sizes(scan)))
+    if not clipped:
+        boxes = written(clip_boxes(boxes, image_sizes(scan)))
     boxes = written(blur_waves(boxes, fold_limit))
     top, any_draw, any_blur = boxes.agg(F.max("wave"), F.bool_or("draw"), F.bool_or("blur")).first()
     if top is None:
@@ -104,10 +182,14 @@ def redact(scan: DataFrame, boxes: DataFrame, k: int, fold_limit: int = FOLD_LIM
             lines = box_blur(lines, now.where("blur"), k)
         return lines
 
+    touched = written(boxes.select("image_id").distinct())
+    mark = small(touched, SMALL_IDS)
     covered = boxes.selectExpr("image_id", "wave", "explode(sequence(y0, y1 - 1)) as y")
-    last = covered.groupBy("image_id", "y").agg(F.max("wave").alias("_last"))
-    done = [scan.join(last, ["image_id", "y"], "left_anti")]
-    active = written(scan.join(last, ["image_id", "y"]))
+    last = written(covered.groupBy("image_id", "y").agg(F.max("wave").alias("_last")))
+    lines = restricted(scan, touched, "image_id")
+    tagged = written(lines.join(last, ["image_id", "y"], "left"))
+    done = [scan.join(mark, "image_id", "left_anti"), tagged.where("_last is null").drop("_last")]
+    active = tagged.where("_last is not null")
     for wave in range(top):
         after = written(apply(active, boxes.where(F.col("wave") == wave)))
         done.append(after.where(F.col("_last") == wave).drop("_last"))

@@ -124,7 +124,7 @@ def image_run(
     rows = written(counted_log(work, boxes, as_of))
     return {
         "images": work.redact.select("image_id", "file_name"),
-        "redacted": redact(lines, boxes, options.kernel),
+        "redacted": redact(lines, boxes, options.kernel, clipped=True),
         "log": rows,
         "summary": run_summary(work.candidates, rows),
         "bad": work.bad,

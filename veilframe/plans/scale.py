@@ -195,6 +195,13 @@ def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
     )
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which null is a value like any other."""
+    both = left.alias("l").join(right.alias("r"), same_keys("l", "r", keys), how)
+    more = [] if how in ("left_anti", "left_semi") else [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return both.select("l.*", *more)
+
+
 def _ranged(df: DataFrame, order: Sequence[Column | str], weight: Column) -> tuple[DataFrame, int]:
     """Rows sorted over range partitions, with `_part`, `_mid` and `_start`; and the total weight.
 
@@ -247,21 +254,27 @@ def numbered(
     name: str,
     start: int = 0,
     hot_rows: int = HOT_ROWS,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Number the rows of each group in a total order.
 
-    A window does it while every group fits one task. With a larger group the rows are
-    positioned globally instead, which splits the group over range partitions.
-    `hot` skips the group count when the caller already knows the answer.
+    Groups that fit one task are numbered by a window. The rows of larger ones, and no
+    others, are range-partitioned over their whole order, which splits a group, and get
+    their number from the sizes of the partitions and the start of their group.
     """
+    hot = hot_keys(df, keys, hot_rows)
     if hot is None:
-        hot = hot_keys(df, keys, hot_rows) is not None
-    if not hot:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window) + F.lit(start - 1))
+        return _by_window(df, keys, order, name, start)
+    cold, split = (joined(df, hot, keys, how) for how in ("left_anti", "left_semi"))
+    return _by_window(cold, keys, order, name, start).unionByName(_by_ranges(split, keys, order, name, start))
+
+
+def _by_window(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, start: int) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(window) + F.lit(start - 1))
+
+
+def _by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, start: int) -> DataFrame:
     placed = positioned(df, [*keys, *order], "_pos")
     first = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))
-    joined = placed.alias("p").join(first.alias("f"), same_keys("p", "f", keys))
     number = (F.col("_pos") - F.col("_first") + F.lit(start)).cast("int")
-    return joined.select(*[F.col(f"p.{c}") for c in df.columns], number.alias(name))
+    return joined(placed, small(first), keys).select(*df.columns, number.alias(name))
