@@ -192,3 +192,34 @@ def test_scopes_leave_the_result_only(spark, tmp_path, monkeypatch):
         scale.written(spark.range(3))
         1 / 0  # noqa: B018
     assert not list(tmp_path.glob("step-*"))
+
+
+def test_one_image_is_resampled_on_several_tasks(spark):
+    """Without broadcasts, the lines of one image are stretched and mixed in several partitions."""
+    rng = np.random.default_rng(1)
+    scan = pack(spark, {1: rng.integers(0, 256, (300, 12, 1))})
+    sizes = spark.createDataFrame([(1, 9, 260)], "image_id bigint, new_width int, new_height int")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        done = raster.resample(scan, sizes)
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "hashpartitioning(image_id" in plan and "_salt" in plan
+        parts = done.select("y", F.spark_partition_id().alias("p")).collect()
+        sized = raster._with_sizes(scan, sizes).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["y"] for r in parts) == list(range(260))
+    assert len({r["p"] for r in parts}) >= 3 and sized >= 3
+    whole = unpack(raster.resample(scan, sizes, band=10_000))[1]
+    assert (unpack(done)[1] == whole).all() and (unpack(raster.resample(scan, sizes, band=7))[1] == whole).all()
+
+
+def test_tensor_of_a_large_image_is_refused(spark):
+    scan = pack(spark, {1: np.zeros((9, 9, 3), int), 2: np.zeros((3, 3, 3), int)})
+    assert raster.to_tensor(scan.where("image_id = 2"), most=27).count() == 1
+    with pytest.raises(Exception, match="letterbox it first"):
+        raster.to_tensor(scan, most=27).collect()

@@ -256,13 +256,36 @@ def pad(scan: DataFrame, top: Column, bottom: Column, left: Column, right: Colum
     )
 
 
-def resample(scan: DataFrame, sizes: DataFrame, whole: bool = True) -> DataFrame:
+BAND_LINES = 64
+"""Target lines of a band, which is resampled in one task."""
+
+
+def _with_sizes(scan: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Scanlines with `new_width, new_height` of their image.
+
+    A size is repeated for each residue of line numbers, so that the lines of one image are
+    spread over tasks also when the sizes are too many to broadcast.
+    """
+    salt = F.pmod(F.col("y"), F.lit(SPREAD)).cast("int")
+    each = sizes.select("image_id", "new_width", "new_height", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
+    return scan.withColumn("_salt", salt).join(each, ["image_id", "_salt"]).drop("_salt")
+
+
+SPREAD = 16
+"""Tasks that the lines of an image are spread over, at most, to learn its new size."""
+
+
+def resample(scan: DataFrame, sizes: DataFrame, whole: bool = True, band: int = BAND_LINES) -> DataFrame:
     """Bilinear resampling to the sizes in `sizes` (`image_id, new_width, new_height`).
 
     Pixel centres are at half positions and edges are clamped. Images already of the
     right size stay as they are. With `whole` values are rounded to integers.
+
+    A source line is stretched where it lies and sent to the bands of target lines that it
+    is a tap of, two at most unless it is repeated many times. A band is one group, so an
+    image of any height is spread over tasks.
     """
-    sized = scan.join(sizes, "image_id")
+    sized = _with_sizes(scan, sizes)
     equal = (F.col("width") == F.col("new_width")) & (F.col("height") == F.col("new_height"))
     # images of the right size skip the second shuffle
     same = sized.where(equal).drop("new_width", "new_height")
@@ -279,7 +302,13 @@ def resample(scan: DataFrame, sizes: DataFrame, whole: bool = True) -> DataFrame
         frac = s - low
         return (F.lit(1.0) - frac) * F.get("vals", low) + frac * F.get("vals", high)
 
-    # each source line goes to every target line that has it as upper or lower tap
+    def taps(t: Column) -> tuple[Column, Column, Column]:
+        """Upper and lower source line of a target line, and the weight of the lower one."""
+        s = source(t, F.col("height"), F.col("new_height"))
+        upper = F.floor(s).cast("int")
+        return upper, F.least(upper + 1, F.col("height") - 1), s - upper
+
+    # the target lines that have a source line as upper or lower tap, and some around them
     n_in, n_out = F.col("height").cast("double"), F.col("new_height").cast("double")
     reach_low = F.floor((F.col("y") - F.lit(0.5)) * n_out / n_in - F.lit(1.5))
     reach_high = F.ceil((F.col("y") + F.lit(1.5)) * n_out / n_in + F.lit(0.5))
@@ -288,44 +317,56 @@ def resample(scan: DataFrame, sizes: DataFrame, whole: bool = True) -> DataFrame
     # targets beyond the first and last centre are clamped onto the edge lines
     low = F.when(F.col("y") <= 1, F.lit(0).cast("bigint")).otherwise(low)
     high = F.when(F.col("y") == F.col("height") - 1, F.col("new_height").cast("bigint") - 1).otherwise(high)
-    stretched = other.where(low <= high).select(
-        "image_id", "c", "y", "height", "new_width", "new_height",
+
+    def is_tap(t: Column) -> Column:
+        upper, lower, _ = taps(t)
+        return (F.col("y") == upper) | (F.col("y") == lower)
+
+    targets = F.filter(F.when(low <= high, F.sequence(low, high)), is_tap)
+    bands = F.array_distinct(F.transform(targets, lambda t: F.floor(t / band).cast("int")))
+    stretched = other.select("image_id", "c", "y", "height", "width", "vals", "new_width", "new_height", bands.alias("bands")).where("size(bands) > 0")
+    stretched = stretched.select(
+        "image_id", "c", "y", "height", "new_width", "new_height", "bands",
         F.transform(F.sequence(F.lit(0), F.col("new_width") - 1), across).alias("h"),
-        F.sequence(low, high).alias("targets"),
-    )
-    taps = stretched.select("*", F.explode("targets").alias("_t")).drop("targets")
-    taps = taps.withColumn("t", F.col("_t").cast("int"))
-    s = source(F.col("t"), F.col("height"), F.col("new_height"))
-    upper = F.floor(s).cast("int")
-    lower = F.least(upper + 1, F.col("height") - 1)
-    taps = taps.withColumns({"u": upper, "l": lower, "frac": s - upper}).where(
-        (F.col("y") == F.col("u")) | (F.col("y") == F.col("l"))
     )
-    both = taps.groupBy("image_id", "c", "t").agg(
-        F.any_value("new_width").alias("width"),
-        F.any_value("new_height").alias("height"),
-        F.any_value("frac").alias("frac"),
-        F.any_value(F.when(F.col("y") == F.col("u"), F.col("h")), True).alias("a"),
-        F.any_value(F.when(F.col("y") == F.col("l"), F.col("h")), True).alias("b"),
-    )
-    mixed = F.zip_with(
-        "a", "b", lambda a, b: (F.lit(1.0) - F.col("frac")) * a + F.col("frac") * b
+    sent = stretched.select("*", F.explode("bands").alias("band")).drop("bands")
+    groups = sent.groupBy("image_id", "c", "band").agg(
+        *[F.any_value(c).alias(c) for c in ("height", "new_width", "new_height")],
+        F.map_from_entries(F.collect_list(F.struct("y", "h"))).alias("lines"),
     )
+
+    def mixed(t: Column) -> Column:
+        upper, lower, frac = taps(t)
+        line = F.zip_with(
+            F.element_at("lines", upper), F.element_at("lines", lower),
+            lambda a, b: (F.lit(1.0) - frac) * a + frac * b,
+        )
+        return F.struct(t.cast("int").alias("y"), (F.transform(line, lambda v: F.rint(v).cast("int")) if whole else line).alias("vals"))
+
+    last = F.least(F.col("new_height"), (F.col("band") + 1) * band) - 1
+    lines = F.transform(F.sequence(F.col("band") * band, last), mixed)
+    done = groups.select("image_id", "new_width", "new_height", "c", F.inline(lines))
+    done = done.withColumnsRenamed({"new_width": "width", "new_height": "height"})
     if whole:
-        mixed = F.transform(mixed, lambda v: F.rint(v).cast("int"))
         same = same.select(*SCAN)
     else:
         same = same.select(*SCAN[:-1], F.col("vals").cast("array<double>").alias("vals"))
-    done = both.select("image_id", "width", "height", "c", F.col("t").alias("y"), mixed.alias("vals"))
-    return done.unionByName(same)
+    return done.select(*SCAN).unionByName(same)
+
+
+TENSOR_VALUES = 1 << 24
+"""Most values of a model input."""
 
 
-def to_tensor(scan: DataFrame) -> DataFrame:
+def to_tensor(scan: DataFrame, most: int = TENSOR_VALUES) -> DataFrame:
     """Model input per image: channels first, values 0..1 as floats, plus its shape.
 
     An image becomes one row here, so its size is that of the model input, not of the
-    source: letterbox it first.
+    source: letterbox it first. The run fails on an image of more than `most` values.
     """
+    values = F.col("width").cast("long") * F.col("height") * (F.col("c") + 1)
+    refused = F.raise_error(F.concat(F.lit("image "), F.col("image_id").cast("string"), F.lit(f" has more than {most} values: letterbox it first")))
+    scan = scan.withColumn("vals", F.when(values > most, refused).otherwise(F.col("vals")))
     lines = F.sort_array(F.collect_list(F.struct("c", "y", "vals")))
     flat = F.flatten(F.transform(lines, lambda line: line["vals"]))
     scaled = F.transform(flat, lambda v: (v / F.lit(255.0)).cast("float"))

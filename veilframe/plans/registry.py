@@ -135,13 +135,13 @@ def s11_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s12_layout",
-    """select regexp_replace(file_name, '[^/]*$', '') as dir, count(*) as objects from v_objects
-       group by 1""",
+    """select regexp_replace(file_name, '[^/]*$', '') as dir, file_name, length from v_objects""",
 )
 def s12_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Each object with the folder that it lies in."""
     path = work_dir(spark, "layout")
     sinks.write_by_folder(X.v_objects(spark, d).select("file_name", "length"), path)
-    return spark.read.parquet(path).groupBy("dir").agg(F.count(F.lit(1)).alias("objects"))
+    return spark.read.parquet(path).select("dir", "file_name", "length")
 
 
 def _export_by_folder(spark: SparkSession, d: str) -> str:
@@ -292,13 +292,23 @@ def p6_min_size(spark: SparkSession, d: str) -> DataFrame:
     return X.v_objects(spark, d).where(S.large_enough(1024)).select("image_id", "length")
 
 
-@query(
-    "p7_quarantine",
-    """select file_name, case when length is null then 'missing' else 'too small' end as reason
-       from v_objects where length is null or length < 1024""",
-)
+CHECKED_SQL = """(select file_name, case when image_id % 13 = 0 then 'missing' when length < 1024 then 'too small'
+    when image_id % 3 = 2 then 'unreadable' end as reason from v_objects)"""
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    """Objects with leading bytes: some have gone, some are of no known format."""
+    gone, heads = F.col("image_id") % 13 == 0, F.array(*[F.lit(bytes.fromhex(h)) for h in ("FFD8FFE0", "89504E470D0A1A0A", "4749463839")])
+    content = F.get(heads, (F.col("image_id") % 3).cast("int"))
+    objects_ = X.v_objects(spark, d).withColumns(
+        {"content": F.when(~gone, content), "length": F.when(~gone, F.col("length"))}
+    )
+    return S.classify(objects_)
+
+
+@query("p7_quarantine", f"select file_name, reason from {CHECKED_SQL} where reason is not null")
 def p7_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.quarantined(S.classify(X.v_objects(spark, d), signature=False))
+    return runlog.quarantined(_checked(spark, d))
 
 
 @query("p8_has_altitude", "select image_id, altitude from v_objects where altitude is not null")
@@ -476,6 +486,26 @@ def j6_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return overlap.iou_pairs(X.v_detections(spark, d), 0.4)
 
 
+@query(
+    "j6_partners",
+    """with pair as (
+         select a.image_id, a.class_id, a.det_id, b.det_id as other,
+           greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) as common,
+           (a.x1 - a.x0) * (a.y1 - a.y0) as one, (b.x1 - b.x0) * (b.y1 - b.y0) as two
+         from v_detections a join v_detections b
+         on a.image_id = b.image_id and a.class_id = b.class_id and a.det_id <> b.det_id),
+       hit as (select *, common / (one + two - common) as iou from pair where common > 0.4::double * (one + two - common)),
+       best as (
+         select image_id, class_id, det_id, count(*) as partners, arg_min(other, (-iou, other)) as best_id, max(iou) as best_iou
+         from hit group by all)
+       select d.image_id, d.class_id, d.det_id, coalesce(partners, 0) as partners, best_id, best_iou
+       from v_detections d left join best using (image_id, class_id, det_id) where d.x1 > d.x0 and d.y1 > d.y0""",
+)
+def j6_partners(spark: SparkSession, d: str) -> DataFrame:
+    """Per box, how many boxes it overlaps with and the one it overlaps with most."""
+    return overlap.partner_counts(X.v_detections(spark, d), 0.4)
+
+
 # --- aggregations ------------------------------------------------------------------
 
 
@@ -534,10 +564,10 @@ def a3_run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a4_quarantine_counts",
-    "select 'too small' as reason, count(*) as objects from v_objects where length < 1024",
+    f"select reason, count(*) as objects from {CHECKED_SQL} where reason is not null group by reason",
 )
 def a4_quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.quarantine_counts(S.classify(X.v_objects(spark, d), signature=False))
+    return runlog.quarantine_counts(_checked(spark, d))
 
 
 @query(
