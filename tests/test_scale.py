@@ -154,8 +154,10 @@ def test_partner_counts(spark, iou, block):
         x, y = (int(v) for v in rng.integers(0, 14, 2))
         rows.append(dict(image_id=image, det_id=det, class_id=1, x0=x, y0=y, x1=x + int(rng.integers(0, 12)), y1=y + 10))
     rows += [{**rows[i], "det_id": 200 + n} for n, i in enumerate((4, 4, 7, 8))]
-    got = overlap.partner_counts(boxes_df(spark, rows), iou, block).select("image_id", "det_id", "partners", "best_id", "best_iou")
-    assert sorted(map(tuple, got.collect()), key=str) == brute_partners(rows, iou)
+    want, columns = brute_partners(rows, iou), ["image_id", "det_id", "partners", "best_id", "best_iou"]
+    for limit in (10, 10_000):
+        got = overlap.partner_counts(boxes_df(spark, rows), iou, block, limit).select(*columns)
+        assert sorted(map(tuple, got.collect()), key=str) == want
 
 
 def test_partners_of_many_jittered_copies(spark):

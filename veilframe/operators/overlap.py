@@ -262,19 +262,55 @@ def _partners(a: pd.DataFrame, b: pd.DataFrame, iou: float) -> pd.DataFrame:
 
 
 @tidy
-def partner_counts(boxes: DataFrame, iou: float, block: int = PARTNER_BLOCK) -> DataFrame:
+def partner_counts(boxes: DataFrame, iou: float, block: int = PARTNER_BLOCK, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """One row per box with area: partners, best_id, best_iou.
 
     A partner is another box of the same image and class whose overlap ratio exceeds `iou`;
     the best one has the highest ratio, ties go to the lower det_id. A box without a partner
-    has 0 and nulls. However many partners boxes have, only counts leave a task: boxes of a
-    grid cell are cut into blocks, the blocks of neighbouring cells are compared, and each
-    comparison returns a row per box. Exact copies are merged first.
+    has 0 and nulls. Exact copies are merged first. Groups of a bounded size are compared
+    pair by pair. In larger ones only counts leave a task: boxes of a grid cell are cut into
+    blocks, the blocks of neighbouring cells are compared, and each comparison returns a row
+    per box.
     """
     _check_iou(iou)
     shape = [*GROUP, *BOX[4:]]
     solid = boxes.where(has_area())
     shapes = written(solid.groupBy(*shape).agg(F.min("det_id").alias("det_id"), F.count(F.lit(1)).alias("copies")))
+    hot = hot_keys(shapes, GROUP, pair_limit)
+    if hot is None:
+        found = _partners_by_group(shapes, iou)
+    else:
+        few, many = (joined(shapes, hot, GROUP, how) for how in ("left_anti", "left_semi"))
+        found = _partners_by_cell(many, iou, block).unionByName(_partners_by_group(few, iou))
+    best = F.max(F.struct("best_iou", (-F.col("best")).alias("_best")))
+    summed = found.groupBy(*GROUP, "det_id").agg(F.sum("partners").alias("_found"), best.alias("_top"))
+    told = joined(shapes, written(summed), [*GROUP, "det_id"], "left")
+    alike = F.lit(iou < 1) & (F.col("copies") > 1)
+    told = told.select(
+        *shape, F.col("det_id").alias("_first"), alike.alias("_alike"), F.col("_top"),
+        (F.coalesce("_found", F.lit(0)) + F.when(alike, F.col("copies") - 1).otherwise(0)).alias("partners"),
+    )
+    own = joined(solid.select(*shape, "det_id"), written(told), shape)
+    return joined(own, _second(solid, shape), shape, "left").select(
+        *GROUP, "det_id", "partners",
+        F.when(F.col("_alike"), F.when(F.col("det_id") == F.col("_first"), F.col("_next")).otherwise(F.col("_first")))
+        .otherwise(-F.col("_top._best")).cast(shapes.schema["det_id"].dataType).alias("best_id"),
+        F.when(F.col("_alike"), F.lit(1.0)).otherwise(F.col("_top.best_iou")).alias("best_iou"),
+    )
+
+
+def _partners_by_group(shapes: DataFrame, iou: float) -> DataFrame:
+    both = _packed(shapes, "a", []).alias("l").join(_packed(shapes, "b", []).alias("r"), same_keys("l", "r", GROUP))
+    hit = both.where((F.col("a.det_id") != F.col("b.det_id")) & overlaps_above("a", "b", iou)).select(
+        *[F.col(f"l.{c}") for c in GROUP], F.col("a.det_id").alias("det_id"), F.col("b.copies").alias("partners"),
+        (intersection("a", "b").cast("double") / union("a", "b")).alias("best_iou"), F.col("b.det_id").cast("long").alias("best"),
+    )
+    best = F.max(F.struct("best_iou", (-F.col("best")).alias("_best")))
+    told = hit.groupBy(*GROUP, "det_id").agg(F.sum("partners").alias("partners"), best.alias("_top"))
+    return told.select(*GROUP, "det_id", "partners", F.col("_top.best_iou").alias("best_iou"), (-F.col("_top._best")).alias("best"))
+
+
+def _partners_by_cell(shapes: DataFrame, iou: float, block: int) -> DataFrame:
     grid = _Grid(iou, 1.0 - iou)
     homes = grid.home(shapes)
     many = homes.groupBy(*GROUP, *CELL).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
@@ -299,21 +335,7 @@ def partner_counts(boxes: DataFrame, iou: float, block: int = PARTNER_BLOCK) ->
         return _partners(a, b, iou)
 
     found = written(asked).groupBy(*met).cogroup(written(stored).groupBy(*met)).applyInPandas(compare, schema)
-    best = F.max(F.struct("best_iou", (-F.col("best")).alias("_best")))
-    summed = found.groupBy(*GROUP, "det_id").agg(F.sum("partners").alias("_found"), best.alias("_top"))
-    told = joined(shapes, written(summed), [*GROUP, "det_id"], "left")
-    alike = F.lit(iou < 1) & (F.col("copies") > 1)
-    told = told.select(
-        *shape, F.col("det_id").alias("_first"), alike.alias("_alike"), F.col("_top"),
-        (F.coalesce("_found", F.lit(0)) + F.when(alike, F.col("copies") - 1).otherwise(0)).alias("partners"),
-    )
-    own = joined(solid.select(*shape, "det_id"), written(told), shape)
-    return joined(own, _second(solid, shape), shape, "left").select(
-        *GROUP, "det_id", "partners",
-        F.when(F.col("_alike"), F.when(F.col("det_id") == F.col("_first"), F.col("_next")).otherwise(F.col("_first")))
-        .otherwise(-F.col("_top._best")).cast(keys["det_id"]).alias("best_id"),
-        F.when(F.col("_alike"), F.lit(1.0)).otherwise(F.col("_top.best_iou")).alias("best_iou"),
-    )
+    return found
 
 
 def _second(boxes: DataFrame, shape: list[str]) -> DataFrame:

@@ -22,6 +22,7 @@ from veilframe.operators import overlap, raster, runlog, waves
 from veilframe.operators import selection as S
 from veilframe.operators.scoring import score
 from veilframe.plans import fixtures as X
+from veilframe.plans.detector import detector
 from veilframe.plans.flows import choose_work, image_log, image_run, publish_videos, video_run
 from veilframe.plans.scale import tidy, work_dir
 from veilframe.sources import batches, logs, objects, sinks, tables
@@ -847,6 +848,52 @@ def e2_video_run(spark: SparkSession, d: str) -> DataFrame:
     return named.join(raster.pixels(out["redacted"]), "image_id").drop("image_id", "video_id", "c")
 
 
+def _corners_model() -> Callable:
+    """A fixed rule in place of a network: brightness of two parts of a 12 x 16 canvas, one channel each."""
+    import numpy as np
+
+    def predict(batch: np.ndarray) -> dict[str, np.ndarray]:
+        image = batch.reshape(-1, 3, 12, 16).astype(np.float64)
+        parts = image[:, 0, :6, 2:14], image[:, 2, 6:, 2:14]
+        both = lambda *values: np.tile(np.array(values), (len(image), 1))
+        return {
+            "class_id": both(0, 1).astype("int32"),
+            "x0": both(2.0, 2.0),
+            "y0": both(0.0, 6.0),
+            "x1": both(14.0, 14.0),
+            "y1": both(6.0, 12.0),
+            "score": np.stack([p.sum(axis=(1, 2)) for p in parts], axis=1) / 72.0,
+        }
+
+    return predict
+
+
+@query(
+    "e3_detect",
+    """with axis as (
+         select i, greatest(0.0::double, (i + 0.5::double) * 8::double / 12::double - 0.5::double) as s
+         from (select unnest(range(0, 12)) as i)),
+       taps as (select i, floor(s)::int as a, least(floor(s)::int + 1, 7) as b, s - floor(s) as f from axis),
+       fitted as (
+         select p.image_id, p.c, ty.i as y, round_even(
+           (1.0::double - ty.f) * ((1.0::double - tx.f) * p.v + tx.f * q.v)
+           + ty.f * ((1.0::double - tx.f) * r.v + tx.f * w.v), 0)::int as v
+         from taps ty, taps tx, v_pixels3 p, v_pixels3 q, v_pixels3 r, v_pixels3 w
+         where p.y = ty.a and p.x = tx.a and (p.c = 2 and ty.i < 6 or p.c = 0 and ty.i >= 6)
+           and q.image_id = p.image_id and q.c = p.c and q.y = ty.a and q.x = tx.b
+           and r.image_id = p.image_id and r.c = p.c and r.y = ty.b and r.x = tx.a
+           and w.image_id = p.image_id and w.c = p.c and w.y = ty.b and w.x = tx.b)
+       select image_id, cast(y // 6 as int) as det_id, cast(y // 6 as int) as class_id,
+         round_even(sum(cast(v / 255.0::double as float)::double) / 72.0::double * 100, 0) / 100.0::double as score,
+         0 as x0, cast(4 * (y // 6) as int) as y0, 8 as x1, cast(4 + 4 * (y // 6) as int) as y1
+       from fitted group by image_id, y // 6""",
+)
+def e3_detect(spark: SparkSession, d: str) -> DataFrame:
+    """The whole detector step: letterbox, resample, pad, channel order, scaling, model, and boxes moved back."""
+    detect = detector(_corners_model, width=16, height=12)
+    return detect(X.v_scan3(spark, d))
+
+
 # --- order and set operations ------------------------------------------------------
 
 
