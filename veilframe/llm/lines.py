@@ -14,8 +14,8 @@ from veilframe.llm.common import packed
 RATIO = 0.05
 """Lines on a larger share of a site's pages are boilerplate."""
 
-MIN_PAGES = 10
-"""Lines on fewer pages stay: on a small site any line has a large share."""
+MIN_PAGES = 2
+"""A line on one page only is no boilerplate, however small the site is."""
 
 
 def line_key(line: Column) -> Column:

@@ -93,7 +93,7 @@ with page as (
     select source, count(*) as n from documents group by all
 ), boiler as (
     select o.source, o.bare from often o join total t on o.source is not distinct from t.source
-    where o.n >= 10 and o.n::double / t.n > 0.05
+    where o.n >= 2 and o.n::double / t.n > 0.05
 ), kept as (
     select l.doc_id, count(*) filter (b.bare is not null) as n_dropped,
            coalesce(string_agg(l.line, chr(10) order by l.i) filter (b.bare is null), '') as text
