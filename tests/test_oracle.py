@@ -11,8 +11,9 @@ from veilframe.plans import registry
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def db(sf):
+    """A connection of its own for each test, so that a crash stays where it is."""
     con = duckdb.connect()
     for file in Path(sf).glob("*.parquet"):
         con.execute(f"create view {file.stem} as select * from '{file}'")
