@@ -25,12 +25,15 @@ HEADLINE = [
     "j3_left",
     "j4_pixels_in_boxes",
     "j6_iou_pairs",
+    "j6_partners",
     "a9_nms",
     "w1_frame_index",
     "w3_box_blur",
     "w4_blur_waves",
     "w5_redact",
     "e1_image_run",
+    "e2_video_run",
+    "e3_detect",
     "o3_path_order",
     "f15_resample",
     "f17_to_tensor",
