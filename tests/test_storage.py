@@ -145,6 +145,22 @@ def test_reload_frames(spark, tmp_path):
     assert {(r["video_id"], r["frame_idx"]) for r in spark.read.parquet(path).collect()} == {(1, 7), (2, 0)}
 
 
+def test_reload_has_as_many_files_as_buckets(spark, tmp_path):
+    """Hundreds of videos, one without an id, and a second load with one more column."""
+    path = str(tmp_path / "frames")
+    videos = spark.range(600).selectExpr("if(id = 0, null, id) as video_id", "0 as n")
+    sinks.reload_frames(videos, path, buckets=8)
+    some = videos.where("video_id is null or video_id % 3 = 0").selectExpr("video_id", "1 as n", "'x' as tag")
+    sinks.reload_frames(some, path, buckets=8)
+    back = spark.read.parquet(path)
+    assert len(back.inputFiles()) <= 8
+    want = {(None if i == 0 else i, int(i % 3 == 0)) for i in range(600)}
+    got = [(r["video_id"], r["n"]) for r in back.collect()]
+    assert len(got) == 600 and set(got) == want
+    with pytest.raises(ValueError, match="buckets"):
+        sinks.reload_frames(some, path, buckets=4)
+
+
 def test_write_by_folder(spark, tmp_path):
     df = spark.createDataFrame([("a/b/x.jpg",), ("a/y.jpg",), ("z.jpg",)], "file_name string")
     sinks.write_by_folder(df, str(tmp_path / "tree"))

@@ -6,12 +6,14 @@ and a hot one is split over several tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.paths import dir_by_replace
-from veilframe.plans.scale import written
+from veilframe.plans.scale import joined, written
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
@@ -35,6 +37,13 @@ def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 256) -> No
     untouched objects are carried over. `df` is written aside first, so that names and
     rows are the same ones. The number of buckets stays with the target; another is refused.
     """
+    _replaced(df, path, key, buckets, lambda old, keys: old.join(keys, key, "left_anti"))
+
+
+def _replaced(
+    df: DataFrame, path: str, key: str, buckets: int, others: Callable[[DataFrame, DataFrame], DataFrame], wider: bool = False
+) -> None:
+    """Write `df` and, of touched buckets, `others(old rows, keys of df)`; `wider` allows other columns."""
     spark, mark = df.sparkSession, f"{path.rstrip('/')}/_buckets"
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     fresh = written(df.withColumn("bucket", bucket))
@@ -46,8 +55,8 @@ def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 256) -> No
             raise ValueError(f"{path} has {before} buckets, not {buckets}")
         # at most `buckets` rows
         touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
-        kept = old.where(F.col("bucket").isin(touched)).join(fresh.select(key).distinct(), key, "left_anti")
-        fresh = written(fresh.unionByName(kept))
+        kept = others(old.where(F.col("bucket").isin(touched)), fresh.select(key).distinct())
+        fresh = written(fresh.unionByName(kept, allowMissingColumns=wider))
     else:
         spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(mark)
     _overwrite_partitions(fresh, path, "bucket")
@@ -72,9 +81,14 @@ def published(spark: SparkSession, path: str, key: str = "output_path") -> DataF
     return None if old is None else old.select(key).distinct()
 
 
-def reload_frames(frames: DataFrame, path: str) -> None:
-    """Replace all frames of the videos in `frames`; other videos stay."""
-    _overwrite_partitions(frames, path, "video_id")
+def reload_frames(frames: DataFrame, path: str, buckets: int = 256) -> None:
+    """Replace all frames of the videos in `frames`; other videos stay.
+
+    Videos share hash buckets as the objects of `replace_by_key` do, so files are as many as
+    buckets, however many videos there are. Frames without a video id are one video.
+    """
+    others = lambda old, videos: joined(old, videos, ["video_id"], "left_anti")
+    _replaced(frames, path, "video_id", buckets, others, wider=True)
 
 
 def write_quarantine(bad: DataFrame, path: str) -> bool:
