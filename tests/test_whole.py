@@ -61,6 +61,15 @@ def test_repeated_and_nameless_lines(spark):
     assert key(waves.redact(scan, boxes, 4)) == key(waves.redacted_by_waves(scan, boxes.where("draw or blur"), 4, 512, False))
 
 
+def test_outlines_over_null_values(spark):
+    pictures, rows = pictures_and_boxes(4)
+    rows = [{**r, "x0": 0, "y0": 0, "x1": 1, "y1": 1} for r in rows]
+    scan = pack(spark, pictures).withColumn("vals", F.expr("transform(vals, (v, x) -> if(image_id % 3 = 0 or x = 2, null, v))"))
+    scan = scan.unionByName(scan.where("image_id % 4 = 0"))
+    boxes, key = boxes_df(spark, rows), lambda df: sorted(map(str, df.select(*raster.SCAN).collect()))
+    assert key(raster.draw_outlines(scan, boxes)) == key(raster.outlined_lines(scan, boxes))
+
+
 def test_many_touched_images_are_moved_once(spark, tmp_path, monkeypatch):
     """With more ids than can be broadcast, lines meet boxes by one shuffle and no join."""
     monkeypatch.setattr(whole, "SMALL_IDS", 2)
