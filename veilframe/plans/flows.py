@@ -44,8 +44,12 @@ class Work:
 
 def choose_work(objects: DataFrame, log: DataFrame, as_of: Column, options: Options) -> Work:
     """Select candidates, set bad ones aside, and route the rest by altitude."""
-    chosen = candidates(objects, log, as_of, options.lookback, options.exclude)
-    checked = classify(chosen, options.min_bytes, signature="content" in objects.columns)
+    return sorted_out(candidates(objects, log, as_of, options.lookback, options.exclude), options)
+
+
+def sorted_out(chosen: DataFrame, options: Options) -> Work:
+    """Set bad candidates aside and route the rest by altitude."""
+    checked = classify(chosen, options.min_bytes, signature="content" in chosen.columns)
     usable = with_altitude(checked.where(F.col("valid"))).drop("reason", "valid")
     below, above = split_routes(route(usable, options.min_altitude))
     return Work(chosen, quarantined(checked), below, above)
@@ -56,6 +60,13 @@ def settled(work: Work) -> Work:
     return Work(*(written(getattr(work, f.name)) for f in fields(work)))
 
 
+def settled_work(objects: DataFrame, log: DataFrame, as_of: Column, options: Options) -> Work:
+    """The objects of a run, settled; store and log are read once, for the candidates."""
+    chosen = written(candidates(objects, log, as_of, options.lookback, options.exclude))
+    work = sorted_out(chosen, options)
+    return Work(chosen, written(work.bad), written(work.redact), written(work.passed))
+
+
 def kept_detections(below: DataFrame, detections: DataFrame, options: Options, suppress: bool) -> DataFrame:
     """Confident detections of the images of a run; other images are left out first.
 
@@ -115,8 +126,9 @@ def image_run(
     `detect` maps scanlines to raw boxes. It sees only images below the altitude gate, and
     its result is written, so that no image is scored twice.
     """
-    work = settled(choose_work(objects, log, as_of, options))
-    lines = restricted(scan, work.redact.select("image_id"), "image_id")
+    work = settled_work(objects, log, as_of, options)
+    # written, as sizes, the detector and the redaction all read the lines of the run
+    lines = written(restricted(scan, work.redact.select("image_id"), "image_id"))
     raw = written(detect(lines))
     kept = kept_detections(work.redact, raw, options, suppress)
     found = boxes_to_redact(name_classes(kept, classes, options.strict), options)
