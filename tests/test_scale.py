@@ -1,5 +1,7 @@
 """Work on hot groups: waves by strips, tiles, united runs, ranks, partners and written tables."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +227,19 @@ def test_tensor_of_a_large_image_is_refused(spark):
     assert raster.to_tensor(scan.where("image_id = 2"), most=27).count() == 1
     with pytest.raises(Exception, match="letterbox it first"):
         raster.to_tensor(scan, most=27).collect()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """What was shuffled for a table is deleted at once, not when the driver collects its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    files = lambda: {name for f in listed(disk.getAllFiles()) if (name := f.getName()).startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(scale.SHUFFLES_GO)
+    with scale.scratch():
+        made = scale.written(spark.range(1000).repartition(7).groupBy((F.col("id") % 11).alias("k")).count())
+        assert len(made.collect()) == 11
+        until = time.time() + 10
+        while (left := files() - before) and time.time() < until:
+            time.sleep(0.2)
+    assert spark.conf.get(scale.SHUFFLES_GO) == setting
+    assert not left
