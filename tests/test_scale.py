@@ -234,12 +234,13 @@ def test_written_tables_leave_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
     files = lambda: {name for f in listed(disk.getAllFiles()) if (name := f.getName()).startswith("shuffle_")}
-    before, setting = files(), spark.conf.get(scale.SHUFFLES_GO)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(key)
     with scale.scratch():
         made = scale.written(spark.range(1000).repartition(7).groupBy((F.col("id") % 11).alias("k")).count())
         assert len(made.collect()) == 11
         until = time.time() + 10
         while (left := files() - before) and time.time() < until:
             time.sleep(0.2)
-    assert spark.conf.get(scale.SHUFFLES_GO) == setting
+    assert spark.conf.get(key) == setting
     assert not left
